@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, simhash, token_counts
+from . import arc_convert, byte_bpe, chat_format, decontaminate, language_id, licenses, simhash, token_counts, toxicity, vector_graph
+from .storage import fresh_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,6 +29,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), "doc_id", "text", _ranks(), public_tokenizers.PATTERN)
 
 
+def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vector_graph.nearest(vectors, "vec_id", "embedding", vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+def op4_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = arc_convert.archive_pages(_table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +52,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return language_id.predict(documents, language_id.train(documents))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths: here each lies at source/fold/folder, 64 to a folder and 16 folders to a fold, and
+    those with the first id of a folder or fold are its licence file."""
+    number = F.col("doc_id").cast("long")
+    folder, fold = F.floor(number / 64), F.floor(number / 1024)
+    top = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), fold.cast("string"))
+    inner = F.concat_ws("/", top, folder.cast("string"))
+    path = F.when(number % 1024 == 0, F.concat(top, F.lit("/LICENSE"))).when(number % 64 == 0, F.concat(inner, F.lit("/LICENSE")))
+    documents = _table(spark, sf_dir, "documents").withColumn("path", path.otherwise(F.concat(inner, F.lit("/"), number.cast("string"), F.lit(".txt"))))
+    return licenses.scan(documents, "doc_id", "path", "text")
+
+
 #: The conversation that every run formats besides those of the table.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -69,8 +102,25 @@ FROM sized GROUP BY conv_id
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_vector_graph": op3_vector_graph,
+    "op4_arc_convert": op4_arc_convert,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
+    "op9_language_id": op9_language_id,
+    "op10_licenses": op10_licenses,
 }
-ORACLE_SQL = {"op8_chat_format": OP8_SQL}
+OP4_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+  SELECT payload_digest, max(page_id) AS kept FROM sized WHERE payload_bytes >= 1000 AND page_id IS NOT NULL GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN kept IS NOT NULL AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM sized LEFT JOIN kept USING (payload_digest)
+"""
+
+ORACLE_SQL = {"op4_arc_convert": OP4_SQL, "op8_chat_format": OP8_SQL}

@@ -68,3 +68,16 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[di
 def remainder(id_column: str, modulus: int):
     """crc32 of the id's text modulo ``modulus``; a null id has the remainder of an empty text, 0."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(0)) % F.lit(modulus)
+
+
+def thinned(rows: DataFrame, key: str, by: str, about: int) -> DataFrame:
+    """A sample of about ``about`` rows of each value of ``by``, by a hash of ``key``; all rows of a rarer value.
+
+    Only counts of each value are gathered, no rows; the choice is the same at every size and partitioning.
+    """
+    counts = rows.groupBy(by).count().collect()  # a row for each class
+    spread = 1 << 30
+    chosen = F.lit(False)
+    for value, n in counts:
+        chosen = chosen | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(key), F.lit(spread)) < min(spread, spread * about // n)))
+    return rows.filter(chosen)
