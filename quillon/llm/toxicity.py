@@ -34,8 +34,9 @@ IDENTITY_TERMS = {
     "es": ("mujeres", "hombres", "chicas", "chicos", "musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "inmigrantes", "refugiados", "homosexuales", "lesbianas", "africanos", "europeos"),
 }
 
-#: Buckets of hashed features; texts of each label in the sample; sentences with identity terms; epochs; the penalty's weight.
-BUCKETS, PER_CLASS, SENTENCES, EPOCHS, PENALTY = 1 << 19, 5000, 20_000, 120, 1.0
+#: Buckets of hashed features; texts of each label in the sample; sentences with identity terms; epochs;
+#: weights of the counterfactual penalty and of the squared feature weights.
+BUCKETS, PER_CLASS, SENTENCES, EPOCHS, PENALTY, DECAY = 1 << 19, 5000, 20_000, 120, 1.0, 2e-5
 THRESHOLD = 0.7
 
 _WORD = regex.compile(r"\p{L}+")
@@ -82,7 +83,7 @@ def counterfactuals(sentence: str, terms: dict = IDENTITY_TERMS) -> list[tuple[s
     return found
 
 
-def fit(texts: list[set[str]], toxic: np.ndarray, pairs: list[tuple[str, str]], epochs: int = EPOCHS, penalty: float = PENALTY) -> np.ndarray:
+def fit(texts: list[set[str]], toxic: np.ndarray, pairs: list[tuple[str, str]], epochs: int = EPOCHS, penalty: float = PENALTY, decay: float = DECAY) -> np.ndarray:
     """Weights by gradient descent (Adam): the bias at 0, features at their hashes."""
     weights = np.zeros(BUCKETS)
     weights[0] = -6.0
@@ -113,7 +114,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, pairs: list[tuple[str, str]],
             change = 2 * penalty / len(pairs) * (rate[left] - rate[right])
             by_word += np.bincount(left, change, len(feats)) - np.bincount(right, change, len(feats))
         by_word *= slope
-        gradient = np.append(np.bincount(feature, by_word[of_word], len(used)), by_word.sum())
+        gradient = np.append(np.bincount(feature, by_word[of_word], len(used)) + decay * theta, by_word.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         step = 0.15 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-9)
         theta -= step[:-1]
