@@ -31,8 +31,8 @@ from .storage import Shared, remainder, thinned
 
 #: Buckets of hashed features; texts of each language in the sample; words of a fragment; fragments of a sequence; epochs.
 BUCKETS, PER_LANGUAGE, FRAGMENT, SPLICED, EPOCHS = 1 << 17, 1500, 60, 3, 50
-#: Words of a language's lexicon; chunk length of scoring; words whose scores a worker keeps.
-LEXICON, CHUNK, MEMO = 300, 64, 300_000
+#: Words of a language's lexicon; chunk length of scoring; words in each of the two generations that a worker keeps.
+LEXICON, CHUNK, MEMO = 300, 64, 400_000
 UNDETERMINED = "und"
 
 _WORD = regex.compile(r"\p{L}+")
@@ -191,21 +191,27 @@ class Tagger(dict):
         self.model = model
         self.k = len(model.labels)
         self.emit = np.ones((1024, self.k))
+        self.older: tuple[dict, np.ndarray] = ({}, self.emit)
         self.step, self.first = np.exp(model.transitions - model.transitions.max()), np.exp(model.first - model.first.max())
 
     def __missing__(self, word: str) -> int:
         at = len(self)
         if at == len(self.emit):
             self.emit = np.concatenate([self.emit, np.ones_like(self.emit)])
-        score = self.model.weights[features_of(word, self.model.lexicons)].sum(axis=0, dtype=np.float64)
-        self.emit[at] = np.maximum(np.exp(score - score.max()), 1e-30)
+        if (known := self.older[0].get(word)) is not None:
+            self.emit[at] = self.older[1][known]
+        else:
+            score = self.model.weights[features_of(word, self.model.lexicons)].sum(axis=0, dtype=np.float64)
+            self.emit[at] = np.maximum(np.exp(score - score.max()), 1e-30)
         self[word] = at
         return at
 
     def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The marginals (words x labels) of each text's words."""
-        if len(self) > MEMO:
+        if len(self) > MEMO:  # what is asked for again moves on, the rest goes
+            self.older = (dict(self), self.emit)
             self.clear()
+            self.emit = np.ones((1024, self.k))
         chunks = np.array([-(-len(t) // CHUNK) for t in texts], np.int64)
         mask = np.zeros((int(chunks.sum()), CHUNK), bool)
         place = np.zeros(mask.shape, np.int64)

@@ -13,6 +13,7 @@ runs in the driver; scoring is independent row by row and covers whole texts.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -58,12 +59,15 @@ class Intensities(dict):
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights = weights
+        self.weights, self.older = weights, {}
 
     def __missing__(self, word: str) -> float:
-        z = float(self.weights[features_of(word)].sum()) + float(self.weights[0])
-        value = float(np.logaddexp(0, z))
-        if len(self) >= 500_000:
+        value = self.older.get(word)
+        if value is None:
+            z = sum(map(self.weights.item, features_of(word))) + self.weights.item(0)
+            value = z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
+        if len(self) >= 400_000:  # what is asked for again moves on, the rest goes
+            self.older = dict(self)
             self.clear()
         self[word] = value
         return value
