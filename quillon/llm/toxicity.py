@@ -73,7 +73,7 @@ class Intensities(dict):
         return value
 
     def score(self, text: str | None) -> float:
-        return -float(np.expm1(-sum(map(self.__getitem__, sorted(words_of(text))))))
+        return -math.expm1(-math.fsum(map(self.__getitem__, words_of(text))))  # exactly rounded: any order gives the same
 
 
 def counterfactuals(sentence: str, terms: dict = IDENTITY_TERMS) -> list[tuple[str, str]]:
