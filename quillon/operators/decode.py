@@ -108,17 +108,23 @@ def _scalar(v: Column, k: Column, kind: str, where: Column, o: Options, proto: b
             value = P.parse_integer(F.when(k.isin("ST", *NUMBERS), _text(v, k)), low, high)
             return _outcome(value, F.when(~k.isin("ST", *NUMBERS), "kind").when(value.isNull(), "range"), where, made)
         d = get("double")
-        exact = F.when(number, F.when(k == "DO", F.when(F.abs(d) < 1.9e19, d)).otherwise(get("decimal(38,9)")).cast("decimal(38,9)"))
-        if o.coerce_numbers or o.yaml:
-            s = get("string")
-            exact = F.coalesce(exact, F.when((k == "ST") & s.rlike(J.NUMBER if o.yaml else J.INTEGER), s.try_cast("decimal(38,9)")))
-        whole = F.when(exact >= 0, F.floor(exact)).otherwise(F.ceil(exact)).cast("decimal(38,0)")
-        fits = whole.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
-        known = F.when((~number) & exact.isNull(), "kind").when(exact.isNull() | ~fits, "range")
-        if o.yaml and o.coerce_numbers:
-            known = F.when(number & ~fits, "range").when(~k.isin("ST", *NUMBERS), "kind")
-            whole = F.coalesce(whole, F.when(k == "ST", F.lit(0)))
-        slow = _outcome(F.when(fits | exact.isNull(), whole), known, where, made)
+
+        def rest(v: Column, k: Column) -> Column:
+            """By decimal arithmetic: what is not one of the quick cases, and errors."""
+            number, d, s = k.isin(*NUMBERS), F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+            exact = F.when(number, F.when(k == "DO", F.when(F.abs(d) < 1.9e19, d).cast("decimal(38,9)")).otherwise(F.try_variant_get(v, "$", "decimal(38,9)")))
+            if o.coerce_numbers or o.yaml:
+                exact = F.coalesce(exact, F.when((k == "ST") & s.rlike(J.NUMBER if o.yaml else J.INTEGER), s.try_cast("decimal(38,9)")))
+            whole = F.when(exact >= 0, F.floor(exact)).otherwise(F.ceil(exact)).cast("decimal(38,0)")
+            fits = whole.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
+            known = F.when(~number & exact.isNull(), "kind").when(exact.isNull() | ~fits, "range")
+            if o.yaml and o.coerce_numbers:
+                known = F.when(number & (exact.isNull() | ~fits), "range").when(~k.isin("ST", *NUMBERS), "kind")
+                whole = F.coalesce(whole, F.when(k == "ST", F.lit(0)))
+            return _outcome(F.when(fits | exact.isNull(), whole), known, where, made)
+
+        s = get("string")
+        slow = J.bind(F.struct(v.alias("v"), k.alias("k")), lambda c: rest(c["v"], c["k"]))  # not part of the generated code
         if kind == "ulong":
             return slow
         plain, cut = get("bigint"), F.when(F.abs(d) < 9e15, d).cast("bigint")  # most numbers: no decimal arithmetic
