@@ -108,8 +108,10 @@ class Model:
             for path in (f.flatten, f.wrap):
                 if path is not None and not all(path.split(".")):
                     raise ModelError(f"{self.name}.{f.name}: a path has empty parts")
-            if f.keys and not isinstance(f.type, Model):
+            if f.keys and not isinstance(f.type, Model | Inferred):
                 raise ModelError(f"{self.name}.{f.name}: sibling keys need a model")
+            if f.keys and (f.flatten or f.wrap):
+                raise ModelError(f"{self.name}.{f.name}: sibling keys have no path")
             if f.omit and (not f.keys or not f.nullable or f.omit not in ("empty", "absent")):
                 raise ModelError(f"{self.name}.{f.name}: omit needs a nullable field of sibling keys")
             if f.ignored and not f.optional:
@@ -120,6 +122,9 @@ class Model:
                 if (path := self.path(f)) in paths:
                     raise ModelError(f"{self.name}: {'.'.join(path)} is read twice")
                 paths[path] = f
+        owned = [k for f in self.fields if f.keys for k in f.type.known_keys()] + [p[0] for p in dict.fromkeys(p[:1] for p in paths)]
+        if len(set(owned)) != len(owned):
+            raise ModelError(f"{self.name}: a sibling key has two owners")
         for path in paths:
             if any(path[:k] in paths for k in range(1, len(path))):
                 raise ModelError(f"{self.name}: {'.'.join(path)} lies inside another field")
@@ -174,6 +179,9 @@ class Inferred:
                 if seen.setdefault(model.wire(f), f.type) != f.type:
                     raise ModelError(f"{self.name}: {model.wire(f)} has two types")
 
+    def known_keys(self) -> list[str]:
+        return list(dict.fromkeys(k for m in self.options.values() for k in m.known_keys()))
+
 
 @dataclass(frozen=True)
 class Envelope:

@@ -269,7 +269,8 @@ def _collected(v: Column, f: Field, where: Column, o: Options, made: T.DataType)
     """A nested model whose keys stand among the field's siblings."""
     inner = f.type
     there = [(raw := F.try_variant_get(v, J.path_of((key,)), "variant")).isNotNull() & ~F.is_variant_null(raw) for key in inner.known_keys()]
-    read = _object(v, F.lit("OB"), inner, where, Options(o.coerce_numbers, o.coerce_booleans, False, o.yaml))
+    plain = Options(o.coerce_numbers, o.coerce_booleans, False, o.yaml)
+    read = (_inferred if isinstance(inner, Inferred) else _object)(v, F.lit("OB"), inner, where, plain)
     nothing = _pair(F.lit(None), None, made)
     if f.omit == "empty":
         return F.when(~J.any_of(there), nothing).otherwise(read)
@@ -330,7 +331,7 @@ def _sealed(v: Column, k: Column, kind: Sealed, where: Column, o: Options) -> Co
 
 def _inferred(v: Column, k: Column, kind: Inferred, where: Column, o: Options) -> Column:
     made = spark_type(kind)
-    every = list(dict.fromkeys(key for m in kind.options.values() for key in m.known_keys()))
+    every = kind.known_keys()
     has = {key: F.try_variant_get(v, J.path_of((key,)), "variant").isNotNull() for key in every}
     chosen = F.when(k != "OB", _pair(F.lit(None), error(where, "kind"), made))
     for n, m in kind.options.items():

@@ -91,6 +91,20 @@ def _member(c: Column, model: Model, f: Field, decimals: int | None) -> Column:
     return F.coalesce(text, F.lit("null"))
 
 
+def _siblings(c: Column, kind: Model | Inferred, decimals: int | None) -> dict[str, Column]:
+    """Texts of the keys that stand among a field's siblings; those without a value are left out."""
+    found: dict[str, Column] = {}
+    for name, model in kind.options.items() if isinstance(kind, Inferred) else [(None, kind)]:
+        inner = c if name is None else c[name]
+        for g in model.fields:
+            if g.keys:
+                found |= _siblings(inner[g.name], g.type, decimals)
+                continue
+            text = F.when(inner[g.name].isNotNull(), _member(inner[g.name], model, g, decimals))
+            found[model.wire(g)] = F.coalesce(found[model.wire(g)], text) if model.wire(g) in found else text
+    return found
+
+
 def _object(c: Column, model: Model, decimals: int | None, lead: list = ()) -> Column:
     """Members in order of their fields; flattened and wrapped ones under their path, where the path first occurs."""
     tree: dict = {}
@@ -98,8 +112,7 @@ def _object(c: Column, model: Model, decimals: int | None, lead: list = ()) -> C
         if f.ignored:
             continue
         if f.keys:
-            for g in f.type.fields:
-                tree[f.type.wire(g)] = F.when(c[f.name].isNotNull(), _member(c[f.name][g.name], f.type, g, decimals))
+            tree |= _siblings(c[f.name], f.type, decimals)
             continue
         at, parts = tree, model.path(f)
         for p in parts[:-1]:

@@ -174,7 +174,7 @@ def wrapped_keys_omit(spark, sf_dir):
     return read.select("p_partkey", F.col("a.extras").isNull().alias("no_empty"), F.col("b.extras").isNull().alias("no_absent"))
 
 
-@query("""SELECT p_partkey, '{"id":' || p_partkey || CASE WHEN p_partkey % 3 <> 0 THEN ',"e1":"' || p_brand || '"' ELSE ',"e1":null' END || CASE WHEN p_partkey % 2 <> 0 THEN ',"e2":"' || p_type || '"' ELSE ',"e2":null' END || '}' AS json FROM part""")
+@query("""SELECT p_partkey, '{"id":' || p_partkey || CASE WHEN p_partkey % 3 <> 0 THEN ',"e1":"' || p_brand || '"' ELSE '' END || CASE WHEN p_partkey % 2 <> 0 THEN ',"e2":"' || p_type || '"' ELSE '' END || '}' AS json FROM part""")
 def wrapped_keys_encode(spark, sf_dir):
     model = Model("Part", (required("id", "long"), required("extras", PAIR, keys=True)))
     return encode(decode(_keys_table(spark, sf_dir), "json", model).select("p_partkey", "value"), "value", model).select("p_partkey", "json")
@@ -487,12 +487,12 @@ def proto_any(spark, sf_dir):
     return read.select("event_id", F.col("value.detail.type_url").alias("url"), F.regexp_replace(click, ":", ": ").alias("click"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'code' END AS which FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'code' END AS which, CASE WHEN event_id % 2 = 0 THEN '{\"id\":\"x\",\"text\":\"t\"}' ELSE '{\"id\":\"x\",\"code\":5}' END AS json FROM events")
 def proto_oneof(spark, sf_dir):
-    prepare(spark)
-    kind = Inferred("Payload", {"text": Model("Text", (required("text", "string"),)), "code": Model("Code", (required("code", "int"),))})
-    made = table(spark, sf_dir, "events").select("event_id", F.when(mod("event_id", 2) == 0, '{"id":"x","text":"t"}').otherwise('{"id":"x","code":5}').alias("json"))
-    return decode(made, "json", kind).select("event_id", F.col("value._type").alias("which"))
+    payload = Inferred("Payload", {"text": Model("Text", (required("text", "string"),), proto=True), "code": Model("Code", (required("code", "int"),), proto=True)})
+    model = Model("Oneof", (required("id", "string"), required("payload", payload, keys=True)), proto=True)
+    made = table(spark, sf_dir, "events").select("event_id", F.when(mod("event_id", 2) == 0, '{"id":"x","text":"t"}').otherwise('{"id":"x","code":5}').alias("doc"))
+    return encode(decode(made, "doc", model), "value", model).select("event_id", F.col("value.payload._type").alias("which"), "json")
 
 
 @query("SELECT c_custkey, c_nationkey::DOUBLE AS n FROM customer")

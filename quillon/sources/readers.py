@@ -87,6 +87,11 @@ def read_yaml(df: DataFrame, column: str) -> DataFrame:
     return read.select(*df.columns, F.posexplode_outer("__y.json").alias("position", "document"), F.col("__y.error").alias("yaml_error"))
 
 
+def read_yaml_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``position``, ``document``, ``yaml_error``: the documents of YAML files in any Unicode encoding."""
+    return read_yaml(read_documents(spark, path).withColumnRenamed("document", "__text"), "__text").drop("__text", "valid")
+
+
 def write_yaml(df: DataFrame, column: str, out: str = "yaml") -> DataFrame:
     """Adds block-style YAML of JSON texts."""
     return df.withColumn(out, json_to_yaml(F.col(column)))

@@ -87,6 +87,14 @@ def test_wide_deep_and_odd_names(spark):
     assert read(spark, tree, '{"v":1,"next":{"v":2,"next":{"v":3}}}') == [{"v": 1, "next": {"v": 2, "next": '{"v":3}'}}]
 
 
+def test_sibling_keys_of_sibling_keys(spark):
+    inner = Model("In", (optional("x", "int"), optional("deep", Model("D", (optional("y", "int"),)), keys=True)))
+    kind = Model("Out", (required("id", "int"), required("extras", inner, keys=True)))
+    assert read(spark, kind, '{"y":2,"id":1,"x":null}') == [{"id": 1, "extras": {"x": None, "deep": {"y": 2}}}]
+    df = decode(spark.createDataFrame([('{"y":2,"id":1}',)], "doc string"), "doc", kind)
+    assert encode(df, "value", kind).first().json == '{"id":1,"y":2}'
+
+
 def test_strict_and_filters_see_one_copy(spark):
     kind = Model("M", (required("a", "int"),), strict=True)
     assert read(spark, kind, '{"a":1,"b":2}', '{"a":1}') == [("unknown", "$.b"), {"a": 1}]

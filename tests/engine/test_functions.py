@@ -9,7 +9,7 @@ from quillon.functions import yaml as Y
 from quillon.model import List, Map, Model, Sealed, defaulted, optional, required
 from quillon.operators.decode import prepare
 from quillon.operators.encode import encode
-from quillon.sources.readers import read_documents, read_ndjson, read_yaml, transcode, write_ndjson
+from quillon.sources.readers import read_documents, read_ndjson, read_yaml, read_yaml_files, transcode, write_ndjson
 from quillon.streaming import stream_ndjson
 
 
@@ -123,6 +123,8 @@ def test_files_and_streams(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/x.json").write_bytes('{"a":\n5}'.encode("utf-16"))
     assert [r.document for r in read_documents(spark, f"{tmp_path}/docs").collect()] == ['{"a":\n5}']
+    (tmp_path / "docs/y.yaml").write_text("a: 1\n---\nb: [2]\n")
+    assert sorted(r.document for r in read_yaml_files(spark, f"{tmp_path}/docs/y.yaml").collect()) == ['{"a":1}', '{"b":[2]}']
     stream = stream_ndjson(spark, f"{tmp_path}/out", kind).select("value.a").writeStream.format("memory").queryName("ndjson_test").trigger(availableNow=True).start()
     stream.awaitTermination()
     assert sorted(r.a for r in spark.table("ndjson_test").collect()) == [1, 2]

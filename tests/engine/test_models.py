@@ -21,6 +21,7 @@ def test_camel_names():
         lambda: m.Model("M", (m.required("a", "int", ignored=True),)),
         lambda: m.Model("M", (m.Field("a", "int", has_default=True),)),
         lambda: m.Model("M", (m.required("a", "bytes"),)),
+        lambda: m.Model("M", (m.required("a", m.Model("N", (m.optional("b", "int"),)), keys=True), m.optional("b", "int"))),
         lambda: m.Enum(("a", "a")),
         lambda: m.Enum(("a",), fallback="b"),
         lambda: m.Sealed("S", {}),
