@@ -13,6 +13,7 @@ commit protocol: a lost executor leaves no half archive, and any file system tha
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -221,7 +222,7 @@ def mark_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Writes WARC files of about ARCHIVE_BYTES, each with a warcinfo record, into the folder ``path``."""
+    """Writes compressed WARC files of about ARCHIVE_BYTES of records, each with a warcinfo record, into the folder ``path``."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = b"software: quillon\r\nformat: WARC File Format 1.1\r\n"
@@ -255,7 +256,7 @@ def write_archives(records: DataFrame, path: str) -> None:
             yield flush()
 
     contents = records.select("page_id", "type", "url", "date", "ip", "mime", "http", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(packed, "content binary")
-    contents.select(F.col("content").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path)
+    contents.select(F.col("content").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path, compression="gzip")
 
 
 def read_archives(df_session, path: str) -> DataFrame:
@@ -268,7 +269,7 @@ def read_archives(df_session, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for h, block in read_warc(content.as_py()):
+                for h, block in read_warc(gzip.decompress(content.as_py())):
                     if h["warc-type"] == "warcinfo":
                         continue
                     declared = b16encode(b32decode(h["warc-payload-digest"].removeprefix("sha1:"))).decode().lower()
