@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import proto as P
-from ..model import Enum, Field, Inferred, List, Map, Model, Sealed, Singleton
+from ..model import INTEGERS, Enum, Field, Inferred, List, Map, Model, Sealed, Singleton
 
 
 def double_text(d: Column, decimals: int | None = None) -> Column:
@@ -54,6 +54,8 @@ def _text(c: Column, kind: Any, proto: bool, decimals: int | None) -> Column:
         return P.format_float(c) if proto else double_text(c, decimals)
     if kind in ("long", "ulong") and proto:
         return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    if kind == "boolean" or kind in INTEGERS:
+        return c.cast("string")
     if kind == "bytes":
         return F.concat(F.lit('"'), P.format_base64(c), F.lit('"'))
     if kind in ("timestamp", "duration", "fieldmask"):

@@ -17,6 +17,7 @@ from ..functions.yaml import json_to_yaml, yaml_to_json
 from ..model import Enum, Envelope, Inferred, List, Map, Model, Sealed, defaulted, optional, required
 from ..operators.decode import Options, decode, prepare, route, route_typed
 from ..operators.encode import encode
+from ..operators.project import project
 from ..sources.readers import join_yaml, read_yaml, transcode
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,20 @@ def json_roundtrip_orders(spark, sf_dir):
     return decode(encode(rows, "order", ORDER).select("json"), "json", ORDER).select("value.*")
 
 
+@query("SELECT o_orderstatus, count(*)::BIGINT AS n, max(o_custkey) AS last FROM orders GROUP BY o_orderstatus")
+def json_project_orders(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.struct(*(f.name for f in ORDER.fields)).alias("order"))
+    read = project(encode(rows, "order", ORDER).select("json"), "json", ORDER).select("value.*")
+    return read.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_custkey").alias("last"))
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS author FROM customer")
+def project_flattened(spark, sf_dir):
+    head = doc('{"id":', F.col("c_custkey"), ',"address":{"segment":', F.col("c_mktsegment"), ',"place":{"nation":', F.col("c_nationkey"), "}}")
+    tail = F.when(mod("c_custkey", 2) == 0, doc(',"metadata":{"author":', F.col("c_name"), "}}")).otherwise("}")
+    return project(table(spark, sf_dir, "customer").select(F.concat(head, tail).alias("json")), "json", FLAT).select("value.*")
+
+
 @query("SELECT event_id, (event_id % 5) AS shown FROM events")
 def duplicate_keys_last_wins(spark, sf_dir):
     made = table(spark, sf_dir, "events").select("event_id", doc('{"a":-1,"extra":[{"a":7}],"a":', mod("event_id", 5), "}").alias("json"))

@@ -4,9 +4,10 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quillon.model import Enum, Inferred, List, Map, Model, Sealed, Singleton, defaulted, optional, required, unroll
+from quillon.model import Enum, ModelError, Inferred, List, Map, Model, Sealed, Singleton, defaulted, optional, required, unroll
 from quillon.operators.decode import Options, decode
 from quillon.operators.encode import encode
+from quillon.operators.project import project
 
 
 def read(spark, kind, *texts, options=None, **more):
@@ -102,16 +103,26 @@ def test_strict_and_filters_see_one_copy(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
 
 
+def test_projection_of_sound_documents(spark):
+    item = Model("I", (required("v", "int", wire="x"), defaulted("w", "string", "d")))
+    kind = Model("P", (required("items", List(item)), required("s", List("string", unique=True)), optional("e", Enum(("A", "unknown"))), required("deep", "long", flatten="a.b"), defaulted("gone", "int", 4, ignored=True), optional("m", Map(item))))
+    df = spark.createDataFrame([('{"items":[{"x":1},{"x":2,"w":"q"}],"s":["a","a"],"e":"Z","a":{"b":7},"gone":1,"m":{"k":{"x":3}}}',), ("nope",)], "doc string")
+    rows = [r.value.asDict(True) if r.value else None for r in project(df, "doc", kind).collect()]
+    assert rows[0] == {"items": [{"v": 1, "w": "d"}, {"v": 2, "w": "q"}], "s": ["a"], "e": "unknown", "deep": 7, "gone": 4, "m": {"k": {"v": 3, "w": "d"}}}
+    with pytest.raises(ModelError):
+        project(df, "doc", Model("X", (required("s", Sealed("S", {"a": item})),)))
+
+
 BENCH = Model("B", (required("id", "long"), required("name", "string"), required("score", "double"), defaulted("active", "boolean", True), optional("bio", "string"), required("tags", List("string")), required("m", Map("int")), optional("p", Model("P", (optional("q", "int"),)))))
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(
         st.fixed_dictionaries({
             "id": st.integers(-(2**63), 2**63 - 1), "name": st.text(st.characters(exclude_categories=["Cs"]), max_size=20), "score": st.floats(allow_nan=False, allow_infinity=False), "active": st.booleans(),
             "bio": st.none() | st.text("ab\"\\\n\t\x01é/", max_size=9), "tags": st.lists(st.text("xyz", max_size=3), max_size=4), "m": st.dictionaries(st.text('k"é', max_size=3), st.integers(-5, 5), max_size=3), "p": st.none() | st.fixed_dictionaries({"q": st.none() | st.integers(-9, 9)}),
-        }), min_size=1, max_size=6,
+        }), min_size=1, max_size=30,
     )
 )
 def test_round_trip(spark, rows):
