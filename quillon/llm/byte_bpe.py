@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 The merge loop keeps, for one pre-token, a linked list of tokens and a queue of the pairs that a merge rule knows.
-The queue has one bucket of list positions for each merge rank. Three levels of bitmaps over the ranks (a bit for a
-bucket, a bit for a word of 64 buckets, a bit for a word of those) give the lowest rank that has entries by
-find-first-set, whatever the number of pending pairs. A merge does not search for the entries that it makes obsolete:
+The queue has one bucket of list positions for each merge rank. Two levels of bitmaps over the ranks (a bit for a bucket, a bit
+for a word of 64 buckets) give the lowest rank that has entries by find-first-set, whatever the number of pending
+pairs. A merge does not search for the entries that it makes obsolete:
 a popped entry counts only if its position still starts a pair of that very rank. The work is proportional to the
 length of the pre-token, times the logarithm within one bucket, so a megabyte of one letter class is no special case.
 
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .storage import Shared
 
-#: Pre-tokens in a worker's memo, and the longest that it keeps.
-MEMO_ENTRIES, MEMO_LENGTH = 200_000, 64
+#: Pre-tokens in each of the two generations of a worker's memo, and the longest that it keeps.
+MEMO_ENTRIES, MEMO_LENGTH = 400_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,99 +45,90 @@ def compile_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(inside.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-class RankQueue:
-    """Buckets of positions by merge rank, under bitmaps; ``pop`` gives the lowest rank's leftmost position."""
-
-    def __init__(self, ranks: int):
-        words = (ranks >> 6) + 1
-        self.low = [0] * words
-        self.middle = [0] * ((words >> 6) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.middle[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        word = (top & -top).bit_length() - 1
-        bits = self.middle[word]
-        word = (word << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] &= bits - 1
-            if not self.low[word]:
-                self.middle[rank >> 12] &= ~(1 << (word & 63))
-                if not self.middle[rank >> 12]:
-                    self.top &= ~(1 << (rank >> 12))
-        return rank, position
-
-
 class Encoder(dict):
     """Maps a pre-token to its ids as little-endian unsigned 32-bit integers; also a memo of those seen."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
         self.longest = max(map(len, ranks), default=0)
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.tokens = {rank: token for token, rank in ranks.items()}
 
     def __missing__(self, pretoken: str) -> bytes:
-        packed = array("I", self.merge(pretoken.encode())).tobytes()
+        packed = self.older.get(pretoken)
+        if packed is None:
+            packed = array("I", self.merge(pretoken.encode())).tobytes()
         if len(pretoken) <= MEMO_LENGTH:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= MEMO_ENTRIES:  # what is asked for again moves on, the rest goes
+                self.older = dict(self)
                 self.clear()
             self[pretoken] = packed
         return packed
 
     def merge(self, piece: bytes) -> list[int]:
-        ranks, queue, longest = self.ranks, self.queue, self.longest
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
+        get, longest, n = self.ranks.get, self.longest, len(piece)
         of = (lambda values: array("q", values)) if n > 4096 else list
         after = of(range(1, n + 1))  # where the token that starts here ends
         before = of(range(-1, n - 1))  # where the token before the one that starts here starts
         pair = of([-1]) * n  # the rank of the token that starts here with its right neighbour
+        # The queue, written out here since calls would cost more than the work: buckets of positions (heaps) by rank,
+        # a bit for each bucket in words of 64 ranks, a bit for each such word in ``top``.
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        top = 0
         for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2], -1)) >= 0:
+            if (rank := get(piece[i : i + 2])) is not None:
                 pair[i] = rank
-                queue.push(rank, i)
-        while (entry := queue.pop()) is not None:
-            rank, i = entry
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending positions are a heap
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> 6
+                    words[word] = words.get(word, 0) | 1 << (rank & 63)
+                    top |= 1 << word
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
-                continue
+                continue  # a stale entry
             gone = after[i]
             end = after[i] = after[gone]
             pair[gone] = pair[i] = -1
+            start = before[i]
             if end < n:
                 before[end] = i
-                if (stop := after[end]) - i <= longest and (rank := ranks.get(piece[i:stop], -1)) >= 0:
-                    pair[i] = rank
-                    queue.push(rank, i)
-            if (start := before[i]) >= 0:
-                rank = ranks.get(piece[start:end], -1) if end - start <= longest else -1
-                pair[start] = rank
+                stop = after[end]
+                fresh = ((i, stop), (start, end)) if start >= 0 else ((i, stop),)
+            else:
+                fresh = ((start, end),) if start >= 0 else ()
+            for at, b in fresh:
+                rank = get(piece[at:b], -1) if b - at <= longest else -1
+                pair[at] = rank
                 if rank >= 0:
-                    queue.push(rank, start)
-        ids, i = [], 0
+                    if rank in buckets:
+                        heappush(buckets[rank], at)
+                    else:
+                        buckets[rank] = [at]
+                        word = rank >> 6
+                        words[word] = words.get(word, 0) | 1 << (rank & 63)
+                        top |= 1 << word
+        ids, i, ranks = [], 0, self.ranks
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            end = after[i]
+            ids.append(ranks[piece[i:end]])
+            i = end
         return ids
 
     def encode(self, text: str | None, pattern: regex.Pattern) -> bytes:

@@ -34,15 +34,6 @@ def test_every_code_point_splits_as_in_the_library():
     assert list(array("I", encoder.encode(text, split))) == OWN.encode_ordinary(text)
 
 
-def test_queue_gives_lowest_rank_leftmost_position():
-    queue, rng = byte_bpe.RankQueue(300_000), random.Random(3)
-    entries = [(rng.randrange(300_000) if rng.random() < 0.5 else 77, i) for i in range(3000)]
-    rng.shuffle(entries)
-    for entry in entries:
-        queue.push(*entry)
-    assert [queue.pop() for _ in entries] == sorted(entries) and queue.pop() is None
-
-
 def test_digests(spark):
     rows = [(1, "the cat's hat", "x"), (1, "the cat's hat", "y"), (2, None, "z"), (3, "", None), (None, "é" * 2000, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
