@@ -17,6 +17,7 @@ matrices, so a very long text is no long loop. Memory is in proportion to the lo
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -105,11 +106,17 @@ def fit(sequences: list[list[tuple[str, int]]], labels: list[str], lexicons: dic
     for s in sequences:
         for w, _ in s:
             index.setdefault(w, len(index))
-    feats = [features_of(w, lexicons) for w in index]
-    used, feature = np.unique(np.array([f for x in feats for f in x], np.int64), return_inverse=True)
-    of_word = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
+    hashed, spans = array("i"), array("i")
+    for w in index:
+        own = features_of(w, lexicons)
+        hashed.extend(own)
+        spans.append(len(own))
+    n_words = len(index)
+    used, feature = np.unique(np.frombuffer(hashed, np.int32), return_inverse=True)
+    feature = feature.astype(np.int32)
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), np.frombuffer(spans, np.int32))
     length = max(map(len, sequences))
-    word, gold = np.zeros((len(sequences), length), np.int64), np.zeros((len(sequences), length), np.int64)
+    word, gold = np.zeros((len(sequences), length), np.int32), np.zeros((len(sequences), length), np.int32)
     mask = np.zeros((len(sequences), length), bool)
     for i, s in enumerate(sequences):
         word[i, : len(s)], gold[i, : len(s)], mask[i, : len(s)] = [index[w] for w, _ in s], [y for _, y in s], True
@@ -122,7 +129,7 @@ def fit(sequences: list[list[tuple[str, int]]], labels: list[str], lexicons: dic
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (theta, step, first)]
     texts = np.arange(len(sequences))
     for epoch in range(1, epochs + 1):
-        scores = np.stack([np.bincount(of_word, theta[feature, j], len(feats)) for j in range(k)], axis=1)
+        scores = np.stack([np.bincount(of_word, theta[feature, j], n_words) for j in range(k)], axis=1)
         e = np.exp(scores - scores.max(axis=1, keepdims=True))[word]
         a = np.exp(step - step.max())
         p = marginals(e, mask, texts, a, np.exp(first - first.max())) * mask[:, :, None]
@@ -138,7 +145,7 @@ def fit(sequences: list[list[tuple[str, int]]], labels: list[str], lexicons: dic
         pairs = np.einsum("stk,stl->kl", ahead[:, :-1] * inner[:, :, None], p[:, 1:] / np.maximum(lead[:, 1:], 1e-300)) * a
         gap = truth - p
         flat, at = gap[mask], word[mask]
-        by_word = np.stack([np.bincount(at, flat[:, j], len(feats)) for j in range(k)], axis=1)
+        by_word = np.stack([np.bincount(at, flat[:, j], n_words) for j in range(k)], axis=1)
         by_feature = np.stack([np.bincount(feature, by_word[of_word, j], len(used)) for j in range(k)], axis=1)
         gradients = [by_feature / total - 1e-7 * theta, (want_step - pairs) / total, (want_first - p[:, 0].sum(axis=0)) / total]
         for value, gradient, moment in zip((theta, step, first), gradients, moments):
@@ -277,7 +284,7 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     return rows.select(key, (remainder(key, 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
+def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.35) -> DataFrame:
     """The rows of ``df`` in a known language: not ``und``, and with a score of ``least`` or more; without a model, those
     that hold a letter."""
     if model is None:

@@ -16,7 +16,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ IDENTITY_TERMS = {
 
 #: Buckets of hashed features; texts of each label in the sample; sentences with identity terms; epochs;
 #: weights of the counterfactual penalty and of the squared feature weights.
-BUCKETS, PER_CLASS, SENTENCES, EPOCHS, PENALTY, DECAY = 1 << 19, 5000, 20_000, 120, 1.0, 2e-5
+BUCKETS, PER_CLASS, SENTENCES, EPOCHS, PENALTY, DECAY = 1 << 19, 4000, 20_000, 120, 1.0, 2e-5
 THRESHOLD = 0.7
 
 _WORD = regex.compile(r"\p{L}+")
@@ -87,36 +88,44 @@ def counterfactuals(sentence: str, terms: dict = IDENTITY_TERMS) -> list[tuple[s
     return found
 
 
-def fit(texts: list[set[str]], toxic: np.ndarray, pairs: list[tuple[str, str]], epochs: int = EPOCHS, penalty: float = PENALTY, decay: float = DECAY) -> np.ndarray:
-    """Weights by gradient descent (Adam): the bias at 0, features at their hashes."""
-    weights = np.zeros(BUCKETS)
+def fit(texts: Iterable[Iterable[str]], toxic: np.ndarray, pairs: list[tuple[str, str]], epochs: int = EPOCHS, penalty: float = PENALTY, decay: float = DECAY) -> np.ndarray:
+    """Weights by gradient descent (Adam) from the distinct words of each text: the bias at 0, features at their hashes."""
+    weights = np.zeros(BUCKETS, np.float32)
     weights[0] = -6.0
     index: dict[str, int] = {}
-    for words in [*texts, *pairs]:
-        for w in sorted(words):
-            index.setdefault(w, len(index))
+    numbers, sizes = array("i"), array("i")  # texts as word numbers: no text is held twice
+    for words in texts:
+        before = len(numbers)
+        numbers.extend(index.setdefault(w, len(index)) for w in sorted(words))
+        sizes.append(len(numbers) - before)
+    left, right = (np.array([index.setdefault(p[k], len(index)) for p in pairs], np.int32) for k in (0, 1))
     if not index or not len(toxic):
-        return weights.astype(np.float32)
-    feats = [features_of(w) for w in index]
-    feature = np.array([f for x in feats for f in x])
-    used, feature = np.unique(feature, return_inverse=True)
-    of_word = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
-    doc = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-    word = np.array([index[w] for x in texts for w in sorted(x)], np.int64)
-    left, right = (np.array([index[p[k]] for p in pairs], np.int64) for k in (0, 1))
+        return weights
+    hashed, spans = array("i"), array("i")
+    for w in index:
+        own = features_of(w)
+        hashed.extend(own)
+        spans.append(len(own))
+    n_words, n_texts = len(index), len(sizes)
+    del index
+    used, feature = np.unique(np.frombuffer(hashed, np.int32), return_inverse=True)
+    feature = feature.astype(np.int32)
+    of_word = np.repeat(np.arange(n_words, dtype=np.int32), np.frombuffer(spans, np.int32))
+    doc = np.repeat(np.arange(n_texts, dtype=np.int32), np.frombuffer(sizes, np.int32))
+    word = np.frombuffer(numbers, np.int32)
     theta, bias = np.zeros(len(used)), -6.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    share = 1 / len(texts)
+    share = 1 / n_texts
     for epoch in range(1, epochs + 1):
-        z = np.bincount(of_word, theta[feature], len(feats)) + bias
+        z = np.bincount(of_word, theta[feature], n_words) + bias
         rate = np.logaddexp(0, z)
         slope = 1 / (1 + np.exp(-z))
-        total = np.bincount(doc, rate[word], len(texts)) + 1e-9
+        total = np.bincount(doc, rate[word], n_texts) + 1e-9
         by_doc = np.where(toxic == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0) * share
-        by_word = np.bincount(word, by_doc[doc], len(feats))
+        by_word = np.bincount(word, by_doc[doc], n_words)
         if len(pairs):
             change = 2 * penalty / len(pairs) * (rate[left] - rate[right])
-            by_word += np.bincount(left, change, len(feats)) - np.bincount(right, change, len(feats))
+            by_word += np.bincount(left, change, n_words) - np.bincount(right, change, n_words)
         by_word *= slope
         gradient = np.append(np.bincount(feature, by_word[of_word], len(used)) + decay * theta, by_word.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
@@ -124,7 +133,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, pairs: list[tuple[str, str]],
         theta -= step[:-1]
         bias -= step[-1]
     weights[used], weights[0] = theta, bias
-    return weights.astype(np.float32)
+    return weights
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, penalty: float = PENALTY, terms: dict = IDENTITY_TERMS) -> np.ndarray:
@@ -146,10 +155,10 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(swaps), batch.column(1)], ["words", "swaps", "y"])
 
     found = rows.select("x", "y").mapInArrow(read, "words string, swaps string, y int").toArrow()  # 2 per_class texts' distinct words
-    texts = [set(x.split()) for x in found["words"].to_pylist()]
-    pairs = [tuple(p.split(">")) for x in found["swaps"].to_pylist() for p in x.split()][:SENTENCES]
-    order = sorted(range(len(texts)), key=lambda i: (sorted(texts[i]), found["y"][i].as_py()))  # rows arrive in any order
-    return fit([texts[i] for i in order], found["y"].to_numpy()[order], sorted(pairs), penalty=penalty)
+    pairs = sorted(tuple(p.split(">")) for x in found["swaps"].to_pylist() for p in x.split())[:SENTENCES]
+    rows = sorted(zip(found["words"].to_pylist(), found["y"].to_pylist()))  # rows arrive in any order
+    del found
+    return fit((x.split(" ") if x else () for x, _ in rows), np.array([y for _, y in rows]), pairs, penalty=penalty)
 
 
 def score(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
