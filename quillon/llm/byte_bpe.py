@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared
+from .storage import Shared, bounded_batches
 
 #: Pre-tokens in each of the two generations of a worker's memo, and the longest that it keeps.
-MEMO_ENTRIES, MEMO_LENGTH = 400_000, 64
+MEMO_ENTRIES, MEMO_LENGTH = 280_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -155,7 +155,7 @@ def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pa
                 ids = [encoder.encode(x, split) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
-    return df.select(key, F.col(text).cast("string")).mapInArrow(encoded, out)
+    return bounded_batches(df).select(key, F.col(text).cast("string")).mapInArrow(encoded, out)
 
 
 def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -173,7 +173,7 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: str
                 texts = [encoder.decode(x) for x in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*rest, to])
 
-    return df.select(*rest).mapInArrow(decoded, out)
+    return bounded_batches(df).select(*rest).mapInArrow(decoded, out)
 
 
 def digests(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared
+from .storage import Shared, bounded_batches
 
 #: Items of fewer words are no evidence of a leak and take no part. Share of an item's words that may be edited.
 LEAST_WORDS, BUDGET = 5, 0.2
@@ -156,7 +156,7 @@ def find_leaks(
     """
     fields = [T.StructField(n, T.LongType()) for n in ("item_id", "distance", "first_word", "n_words", "item_words")]
     out = T.StructType([df.schema[key], *fields])
-    texts = df.select(key, F.col(text).cast("string"))
+    texts = bounded_batches(df).select(key, F.col(text).cast("string"))
     found = None
     for block in _blocks(items, item_key, item_text, least_words):
         shared = Shared(df.sparkSession, (block, budget))

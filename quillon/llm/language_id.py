@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared, remainder, thinned
+from .storage import Shared, bounded_batches, remainder, thinned
 
 #: Buckets of hashed features; texts of each language in the sample; words of a fragment; fragments of a sequence; epochs.
 BUCKETS, PER_LANGUAGE, FRAGMENT, SPLICED, EPOCHS = 1 << 17, 1500, 60, 3, 50
@@ -280,7 +280,7 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 found = _tagged(part.column(1).to_pylist(), tagger)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], out.names)
 
-    rows = df.select(key, F.col(text).cast("string")).mapInArrow(tagged, out)
+    rows = bounded_batches(df).select(key, F.col(text).cast("string")).mapInArrow(tagged, out)
     return rows.select(key, (remainder(key, 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
@@ -300,4 +300,4 @@ def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: fl
                 found = _tagged(part.column(place).to_pylist(), tagger)
                 yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 
-    return df.mapInArrow(kept, df.schema)
+    return bounded_batches(df).mapInArrow(kept, df.schema)

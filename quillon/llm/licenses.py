@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared, materialize
+from .storage import Shared, bounded_batches, materialize
 
 #: Fixed list: notices by SPDX identifier.
 TEMPLATES = {
@@ -164,7 +164,7 @@ def scan(df: DataFrame, key: str, path: str, text: str, templates: dict = TEMPLA
                 found = [scanner.scan(x, f) for x, f in zip(part.column(3).to_pylist(), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], out.names)
 
-    own = materialize(rows.mapInArrow(scanned, out), "licenses")
+    own = materialize(bounded_batches(rows).mapInArrow(scanned, out), "licenses")
     parent = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
     folders = own.filter("is_file and own_license is not null").groupBy(parent.alias("dir"))
     folders = folders.agg(F.min(F.struct(-F.col("cosine"), "own_license")).alias("best")).select("dir", F.col("best.own_license").alias("dir_license"))

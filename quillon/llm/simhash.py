@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connect
-from .storage import in_slices, materialize
+from .storage import bounded_batches, in_slices, materialize
 
 #: Widths of the ring's segments, chain length of a join key, and fingerprints of one key that are compared in pairs.
 WIDTHS, CHAIN, IN_PAIRS = (8, 7, 7, 7, 7, 7, 7, 7, 7), 4, 64
@@ -70,7 +70,7 @@ def fingerprints(df: DataFrame, key: str, text: str, words: int = 3) -> DataFram
                 found = np.array([fingerprint(x, words) for x in part.column(1).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], [key, "fp"])
 
-    return df.select(key, F.col(text).cast("string")).mapInArrow(hashed, out)
+    return bounded_batches(df).select(key, F.col(text).cast("string")).mapInArrow(hashed, out)
 
 
 def _rotated(fp: Column, by: int) -> Column:

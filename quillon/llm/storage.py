@@ -58,6 +58,13 @@ class Shared:
         return _built[key]
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Has the session hand texts to Python in Arrow batches of about 8 MB: with several Python workers to an executor,
+    batches of the default size are most of their memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[dict[str, list]]:
     """Python values of some rows at a time, so that a batch of long texts is never held twice as a whole."""
     for batch in batches:

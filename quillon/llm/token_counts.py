@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import compile_pattern
-from .storage import Shared
+from .storage import Shared, bounded_batches
 
 #: Nodes of a worker's trie; pre-tokens of more bytes than LONG get the same recurrence over a sliding window instead.
 NODES, LONG = 500_000, 48
@@ -116,4 +116,4 @@ def count_tokens(df: DataFrame, key: str, text: str, scores: dict[bytes, float],
                     tokens.append(sum(map(trie.__getitem__, pretokens)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(before, pa.int64()), pa.array(tokens, pa.int64())], out.names)
 
-    return df.select(key, F.col(text).cast("string")).mapInArrow(counted, out)
+    return bounded_batches(df).select(key, F.col(text).cast("string")).mapInArrow(counted, out)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared, remainder, thinned
+from .storage import Shared, bounded_batches, remainder, thinned
 
 #: Fixed list: terms that name groups, swapped for each other within a language.
 IDENTITY_TERMS = {
@@ -177,7 +177,7 @@ def score(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([intensities.score(x) for x in part.column(1).to_pylist()], pa.float64())], out.names)
 
-    rows = df.select(key, F.col(text).cast("string")).mapInArrow(scored, out)
+    rows = bounded_batches(df).select(key, F.col(text).cast("string")).mapInArrow(scored, out)
     return rows.select(key, (remainder(key, 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
@@ -193,4 +193,4 @@ def keep_civil(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: st
                 part = batch.slice(at, 256)
                 yield part.filter(pa.array([intensities.score(x) < THRESHOLD for x in part.column(place).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(kept, df.schema)
+    return bounded_batches(df).mapInArrow(kept, df.schema)
