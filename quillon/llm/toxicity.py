@@ -17,7 +17,8 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,9 @@ IDENTITY_TERMS = {
     "es": ("mujeres", "hombres", "chicas", "chicos", "musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "inmigrantes", "refugiados", "homosexuales", "lesbianas", "africanos", "europeos"),
 }
 
-#: Buckets of hashed features; texts of each label in the sample; sentences with identity terms; epochs;
-#: weights of the counterfactual penalty and of the squared feature weights.
-BUCKETS, PER_CLASS, SENTENCES, EPOCHS, PENALTY, DECAY = 1 << 19, 4000, 20_000, 120, 1.0, 2e-5
+#: Buckets of hashed features; texts of each label in the sample; epochs; weights of the counterfactual penalty and of
+#: the squared feature weights.
+BUCKETS, PER_CLASS, EPOCHS, PENALTY, DECAY = 1 << 19, 4000, 120, 1.0, 2e-5
 THRESHOLD = 0.7
 
 _WORD = regex.compile(r"\p{L}+")
@@ -88,8 +89,12 @@ def counterfactuals(sentence: str, terms: dict = IDENTITY_TERMS) -> list[tuple[s
     return found
 
 
-def fit(texts: Iterable[Iterable[str]], toxic: np.ndarray, pairs: list[tuple[str, str]], epochs: int = EPOCHS, penalty: float = PENALTY, decay: float = DECAY) -> np.ndarray:
-    """Weights by gradient descent (Adam) from the distinct words of each text: the bias at 0, features at their hashes."""
+def fit(texts: Iterable[Iterable[str]], toxic: np.ndarray, pairs: Iterable[tuple[str, str]] | Mapping[tuple[str, str], int], epochs: int = EPOCHS, penalty: float = PENALTY, decay: float = DECAY) -> np.ndarray:
+    """Weights by gradient descent (Adam) from the distinct words of each text: the bias at 0, features at their hashes.
+
+    The penalty is the mean over all swaps, given one by one or as the number of each; their order does not matter.
+    """
+    swaps = sorted(Counter(pairs).items())
     weights = np.zeros(BUCKETS, np.float32)
     weights[0] = -6.0
     index: dict[str, int] = {}
@@ -98,7 +103,8 @@ def fit(texts: Iterable[Iterable[str]], toxic: np.ndarray, pairs: list[tuple[str
         before = len(numbers)
         numbers.extend(index.setdefault(w, len(index)) for w in sorted(words))
         sizes.append(len(numbers) - before)
-    left, right = (np.array([index.setdefault(p[k], len(index)) for p in pairs], np.int32) for k in (0, 1))
+    left, right = (np.array([index.setdefault(p[k], len(index)) for p, _ in swaps], np.int32) for k in (0, 1))
+    times = np.array([n for _, n in swaps], np.float64)
     if not index or not len(toxic):
         return weights
     hashed, spans = array("i"), array("i")
@@ -123,8 +129,8 @@ def fit(texts: Iterable[Iterable[str]], toxic: np.ndarray, pairs: list[tuple[str
         total = np.bincount(doc, rate[word], n_texts) + 1e-9
         by_doc = np.where(toxic == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0) * share
         by_word = np.bincount(word, by_doc[doc], n_words)
-        if len(pairs):
-            change = 2 * penalty / len(pairs) * (rate[left] - rate[right])
+        if len(swaps):
+            change = 2 * penalty / times.sum() * times * (rate[left] - rate[right])
             by_word += np.bincount(left, change, n_words) - np.bincount(right, change, n_words)
         by_word *= slope
         gradient = np.append(np.bincount(feature, by_word[of_word], len(used)) + decay * theta, by_word.sum())
@@ -137,7 +143,10 @@ def fit(texts: Iterable[Iterable[str]], toxic: np.ndarray, pairs: list[tuple[str
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, penalty: float = PENALTY, terms: dict = IDENTITY_TERMS) -> np.ndarray:
-    """Weights learned from labelled rows whose crc32(key as text) mod 3 is not 1; about ``per_class`` ids of each label."""
+    """Weights learned from labelled rows whose crc32(key as text) mod 3 is not 1; about ``per_class`` ids of each label.
+
+    The penalty counts every swap in every sentence of these rows' whole texts.
+    """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
     sample = thinned(marked.filter(remainder("k", 3) != 1), "k", "y", per_class)
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("x")).filter("x is not null").join(F.broadcast(sample), "k")
@@ -151,11 +160,15 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 own = words_of(x)
                 words.append(" ".join(sorted(own)))
                 named = [s for s in _SENTENCE.split(x) if not known.isdisjoint(words_of(s))] if not known.isdisjoint(own) else []
-                swaps.append(" ".join(f"{a}>{b}" for s in named[:50] for a, b in counterfactuals(s, terms)))
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(swaps), batch.column(1)], ["words", "swaps", "y"])
+                counts = Counter(p for s in named for p in counterfactuals(s, terms))
+                swaps.append(" ".join(f"{a}>{b}>{n}" for (a, b), n in counts.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(swaps, pa.string()), batch.column(1)], ["words", "swaps", "y"])
 
     found = rows.select("x", "y").mapInArrow(read, "words string, swaps string, y int").toArrow()  # 2 per_class texts' distinct words
-    pairs = sorted(tuple(p.split(">")) for x in found["swaps"].to_pylist() for p in x.split())[:SENTENCES]
+    pairs = Counter()
+    for x in found["swaps"].to_pylist():
+        for a, b, n in (p.split(">") for p in x.split()):
+            pairs[a, b] += int(n)
     rows = sorted(zip(found["words"].to_pylist(), found["y"].to_pylist()))  # rows arrive in any order
     del found
     return fit((x.split(" ") if x else () for x, _ in rows), np.array([y for _, y in rows]), pairs, penalty=penalty)
