@@ -244,6 +244,10 @@ class Tagger(dict):
                 out.append((UNDETERMINED, 0.0))
         return out
 
+    def evidence(self, texts: list[str | None]) -> list[float]:
+        """The greatest marginal that any word of a text has in any language; 0 without words."""
+        return [float(p.max(initial=0.0)) for p in self.tag([words_of(x) for x in texts])]
+
 
 def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters in all."""
@@ -285,8 +289,8 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
 
 def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.35) -> DataFrame:
-    """The rows of ``df`` in a known language: not ``und``, and with a score of ``least`` or more; without a model, those
-    that hold a letter."""
+    """The rows of ``df`` in known languages, one or several: those with a word whose marginal in some language is
+    ``least`` or more; without a model, those that hold a letter."""
     if model is None:
         return df.filter(F.col(text).rlike(r"\p{L}"))
     shared = Shared(df.sparkSession, model)
@@ -297,7 +301,8 @@ def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: fl
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = _tagged(part.column(place).to_pylist(), tagger)
-                yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+                texts = part.column(place).to_pylist()
+                found = [score for a, b in _slices(texts) for score in tagger.evidence(texts[a:b])]
+                yield part.filter(pa.array([score > 0 and score >= least for score in found], pa.bool_()))
 
     return bounded_batches(df).mapInArrow(kept, df.schema)
