@@ -20,6 +20,7 @@ import uuid
 from base64 import b16encode, b32decode, b32encode
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,16 +190,14 @@ def pages_to_arc(pages: DataFrame, date: str = "20040101120000") -> DataFrame:
 
 
 def arc_to_records(archives: DataFrame) -> DataFrame:
-    """WARC equivalents of the records of ARC archives (version blocks left out): type, date, target, digest, parts."""
+    """WARC equivalents of the records of ARC archives (the version block that opens each is left out): type, date, target, digest, parts."""
 
     def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in ("type", "url", "date", "ip", "mime")), ("http", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for r in read_arc(content.as_py()):
-                    if r.url.startswith("filedesc:"):
-                        continue
+                for r in islice(read_arc(content.as_py()), 1, None):  # the version block is always first
                     http, payload = split_http(r.content)
                     page = _header(http, b"X-Page-Id")
                     kind = "response" if http else "resource"
