@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,14 @@ class Shared:
         return _built[key]
 
 
+def forget() -> None:
+    """Lets go of what earlier stages built in this Python worker, for a stage that uses none of it."""
+    _built.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """Has the session hand texts to Python in Arrow batches of about 8 MB: with several Python workers to an executor,
     batches of the default size are most of their memory."""
