@@ -46,7 +46,7 @@ def words_of(text: str | None) -> list[str]:
 def features_of(word: str, lexicons: dict[str, frozenset]) -> list[int]:
     marked = f"^{word}$"
     parts = {"w" + word} | {f"a{word[:k]}" for k in (1, 2, 3, 4)} | {f"z{word[-k:]}" for k in (1, 2, 3, 4)}
-    parts |= {f"{k}{marked[i : i + k]}" for k in (1, 2, 3) for i in range(min(len(marked), 40) - k + 1)}
+    parts |= {f"{k}{marked[i : i + k]}" for k in (1, 2, 3) for i in range(len(marked) - k + 1)}
     parts |= {"l" + lang for lang, words in lexicons.items() if word in words}
     return sorted({zlib.crc32(p.encode()) % BUCKETS for p in parts})
 
