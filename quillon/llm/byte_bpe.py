@@ -15,6 +15,7 @@ memo of bounded size.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,11 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared, bounded_batches
-
-#: Pre-tokens in each of the two generations of a worker's memo, and the longest that it keeps.
-MEMO_ENTRIES, MEMO_LENGTH = 280_000, 64
-
+from .storage import Memo, Shared, bounded_batches
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a tiktoken file."""
@@ -45,25 +42,17 @@ def compile_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(inside.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-class Encoder(dict):
+class Encoder(Memo):
     """Maps a pre-token to its ids as little-endian unsigned 32-bit integers; also a memo of those seen."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.older = ranks, {}
+        self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
         self.tokens = {rank: token for token, rank in ranks.items()}
 
-    def __missing__(self, pretoken: str) -> bytes:
-        packed = self.older.get(pretoken)
-        if packed is None:
-            packed = array("I", self.merge(pretoken.encode())).tobytes()
-        if len(pretoken) <= MEMO_LENGTH:
-            if len(self) >= MEMO_ENTRIES:  # what is asked for again moves on, the rest goes
-                self.older = dict(self)
-                self.clear()
-            self[pretoken] = packed
-        return packed
+    def make(self, pretoken: str) -> bytes:
+        return array("I", self.merge(pretoken.encode())).tobytes()
 
     def merge(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
@@ -177,11 +166,24 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", to: str
 
 
 def digests(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """The number of ids of each text, and SHA-256 digests of the ids and of what they decode to."""
-    coded = decode_ids(encode_texts(df, key, text, ranks, pattern), ranks)
-    return coded.select(
-        key,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """The number of ids of each text, and SHA-256 digests of the ids and of what they decode to.
+
+    Both directions run in one pass, so a worker holds one vocabulary and no ids travel between the two.
+    """
+    shared = Shared(df.sparkSession, ranks)
+    out = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, split, digest = shared.built(Encoder), compile_pattern(pattern), hashlib.sha256
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sizes, coded, decoded = [], [], []
+                for x in part.column(1).to_pylist():
+                    ids = encoder.encode(x, split)
+                    sizes.append(len(ids) // 4)
+                    coded.append(digest(ids).hexdigest())
+                    decoded.append(digest(encoder.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], out.names)
+
+    return bounded_batches(df).select(key, F.col(text).cast("string")).mapInArrow(digested, out)

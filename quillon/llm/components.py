@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,20 +22,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
-def connect(edges: DataFrame) -> DataFrame:
+def connect(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) for each node of the edges (``a`` < ``b``, long).
 
     Minima are pre-aggregated and a node's neighbours are never collected, so a hub is only a skewed join key, which
-    adaptive execution splits. Each round is written to the shared folder; the number of rounds grows with the
-    logarithm of the graph's size. An edge table without rows has no components.
+    adaptive execution splits. Each round is written to ``scratch``, where the result lies too, in the place of the one
+    before; the number of rounds grows with the logarithm of the graph's size. An edge table without rows has no
+    components.
     """
-    now = materialize(edges.filter("a < b").distinct(), "edges")
+    now = scratch.table(edges.filter("a < b").distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         if state.n == 0 or (before is not None and (state.n, state.h) == before):
             break
         before = (state.n, state.h)
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = scratch.table(_small_star(_large_star(now)), "edges")
     leaves = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return leaves.union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -1,8 +1,8 @@
 """Language identification of words and texts by a linear-chain conditional random field.
 
 Each word of a text (a run of letters) has a label, its language. Emission scores come from features of the word
-alone (its beginnings and ends, letter n-grams, the word, and in which languages' lexicons of frequent words it
-stands); learned transitions make neighbours agree, yet allow a switch. Forward-backward gives each word's marginal
+alone (its beginnings and ends, letter n-grams over the whole of it, the word, and in which languages' lexicons of
+frequent words it stands); learned transitions make neighbours agree, yet allow a switch. Forward-backward gives each word's marginal
 probabilities; a text's language has the largest mean marginal over all its words.
 
 Training texts have one language each, so fragments of several are spliced into sequences with known switches, from
@@ -16,8 +16,6 @@ matrices, so a very long text is no long loop. Memory is in proportion to the lo
 
 from __future__ import annotations
 
-import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,27 +26,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared, bounded_batches, remainder, thinned
+from .storage import MEMO_BYTES, Shared, bounded_batches, remainder, thinned
 
 #: Buckets of hashed features; texts of each language in the sample; words of a fragment; fragments of a sequence; epochs.
-BUCKETS, PER_LANGUAGE, FRAGMENT, SPLICED, EPOCHS = 1 << 17, 1500, 60, 3, 50
-#: Words of a language's lexicon; chunk length of scoring; words in each of the two generations that a worker keeps.
-LEXICON, CHUNK, MEMO = 300, 64, 400_000
+BITS, PER_LANGUAGE, FRAGMENT, SPLICED, EPOCHS = 17, 1500, 60, 3, 50
+BUCKETS, MASK = 1 << BITS, (1 << 64) - 1
+#: Words of a language's lexicon; chunk length of scoring.
+LEXICON, CHUNK = 300, 64
 UNDETERMINED = "und"
 
-_WORD = regex.compile(r"\p{L}+")
+#: Longer runs of letters, as in scripts without spaces, are cut into several words of so many letters.
+LONGEST = 4096
+_WORD = regex.compile(rf"\p{{L}}{{1,{LONGEST}}}")
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features_of(word: str, lexicons: dict[str, frozenset]) -> list[int]:
-    marked = f"^{word}$"
-    parts = {"w" + word} | {f"a{word[:k]}" for k in (1, 2, 3, 4)} | {f"z{word[-k:]}" for k in (1, 2, 3, 4)}
-    parts |= {f"{k}{marked[i : i + k]}" for k in (1, 2, 3) for i in range(len(marked) - k + 1)}
-    parts |= {"l" + lang for lang, words in lexicons.items() if word in words}
-    return sorted({zlib.crc32(p.encode()) % BUCKETS for p in parts})
+def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets of hashes; ``kind`` tells features of one hash apart."""
+    return ((h ^ np.uint64(kind * 0x9E3779B97F4A7C15 & MASK)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def features_of(words: list[str], lexicons: dict[str, frozenset]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and buckets of the features of many words at once: for each word its letter n-grams over the whole
+    of it (marked at both ends; as often as they occur), its first and last letters, itself, and the lexicons it is in."""
+    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    number = np.arange(len(words))
+    of = np.repeat(number, sizes)
+    at = np.arange(len(chars))
+    left = ends[of] - at
+    padded = np.concatenate([chars, np.zeros(4, np.uint64)])
+    base = np.uint64(0x100000001B3)
+    found_of, found = [], []
+
+    def add(places: np.ndarray, h: np.ndarray, kind: int) -> None:
+        found_of.append(places)
+        found.append(_mixed(h, kind))
+
+    h = np.zeros(len(chars), np.uint64)
+    for k in (1, 2, 3):
+        h = h * base + padded[k - 1 : k - 1 + len(chars)]
+        whole = left >= k
+        add(of[whole], h[whole], k)
+    head, tail, factor = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64), 1
+    for k in (1, 2, 3, 4):
+        some = sizes - 2 >= k
+        head[some] = head[some] * base + chars[(starts + k)[some]]
+        add(number[some], head[some], 3 + k)
+        tail[some] += np.uint64(factor) * chars[(ends - 1 - k)[some]]
+        add(number[some], tail[some], 7 + k)
+        factor = factor * int(base) & MASK
+    if len(words):
+        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), base)]))
+        add(number, np.add.reduceat(chars * powers[at - starts[of]], starts), 12)
+    known = {}
+    for i, lang in enumerate(sorted(lexicons)):
+        for w in lexicons[lang]:
+            known.setdefault(w, []).append(i)
+    listed = [(n, i) for n, w in enumerate(words) if w in known for i in known[w]]
+    add(np.array([n for n, _ in listed], np.int64), np.array([i for _, i in listed], np.uint64), 13)
+    return np.concatenate(found_of).astype(np.int32), np.concatenate(found)
 
 
 class Model:
@@ -106,15 +148,11 @@ def fit(sequences: list[list[tuple[str, int]]], labels: list[str], lexicons: dic
     for s in sequences:
         for w, _ in s:
             index.setdefault(w, len(index))
-    hashed, spans = array("i"), array("i")
-    for w in index:
-        own = features_of(w, lexicons)
-        hashed.extend(own)
-        spans.append(len(own))
     n_words = len(index)
-    used, feature = np.unique(np.frombuffer(hashed, np.int32), return_inverse=True)
+    of_word, hashed = features_of(list(index), lexicons)
+    used, feature = np.unique(hashed, return_inverse=True)
     feature = feature.astype(np.int32)
-    of_word = np.repeat(np.arange(n_words, dtype=np.int32), np.frombuffer(spans, np.int32))
+    del hashed
     length = max(map(len, sequences))
     word, gold = np.zeros((len(sequences), length), np.int32), np.zeros((len(sequences), length), np.int32)
     mask = np.zeros((len(sequences), length), bool)
@@ -191,34 +229,49 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 
 class Tagger(dict):
-    """Maps a word to the row of its emissions; gives the marginals of texts."""
+    """Maps a word to the row of its emissions, for two generations of words of bounded size; gives the marginals of texts."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, most: int = MEMO_BYTES):
         super().__init__()
-        self.model = model
+        self.model, self.most = model, most
         self.k = len(model.labels)
-        self.emit = np.ones((1024, self.k))
+        self.emit, self.size = np.ones((0, self.k)), 0
         self.older: tuple[dict, np.ndarray] = ({}, self.emit)
         self.step, self.first = np.exp(model.transitions - model.transitions.max()), np.exp(model.first - model.first.max())
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.emit):
-            self.emit = np.concatenate([self.emit, np.ones_like(self.emit)])
-        if (known := self.older[0].get(word)) is not None:
-            self.emit[at] = self.older[1][known]
-        else:
-            score = self.model.weights[features_of(word, self.model.lexicons)].sum(axis=0, dtype=np.float64)
-            self.emit[at] = np.maximum(np.exp(score - score.max()), 1e-30)
-        self[word] = at
-        return at
+    def emissions(self, words: list[str]) -> np.ndarray:
+        of, feature = features_of(words, self.model.lexicons)
+        score = np.stack([np.bincount(of, self.model.weights[feature, j], len(words)) for j in range(self.k)], axis=1)
+        return np.maximum(np.exp(score - score.max(axis=1, keepdims=True)), 1e-30)
+
+    def learn(self, words: set[str]) -> None:
+        """Makes room for the words and has a row for each."""
+        fresh = [w for w in words if w not in self]
+        need = sum(map(len, fresh)) + len(fresh) * (150 + 8 * self.k)  # bytes, about; wide letters are rare enough
+        if self.size + need > self.most:  # what is asked for again moves on, the rest goes
+            self.older, self.size = (dict(self), self.emit), 0
+            self.clear()
+            self.emit = np.ones((0, self.k))
+            fresh = list(words)
+            need = sum(map(len, fresh)) + len(fresh) * (150 + 8 * self.k)
+        self.size += need
+        known, rows = self.older
+        moved = [w for w in fresh if w in known]
+        new = [w for w in fresh if w not in known]
+        parts = [self.emit, rows[[known[w] for w in moved]]] if moved else [self.emit]
+        at = size = 0
+        for i, w in enumerate(new):  # features of a bounded number of letters at a time
+            size += len(w)
+            if size >= 1 << 18 or i == len(new) - 1:
+                parts.append(self.emissions(new[at : i + 1]))
+                at, size = i + 1, 0
+        for w in moved + new:
+            self[w] = len(self)
+        self.emit = np.concatenate(parts) if len(parts) > 1 else self.emit
 
     def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The marginals (words x labels) of each text's words."""
-        if len(self) > MEMO:  # what is asked for again moves on, the rest goes
-            self.older = (dict(self), self.emit)
-            self.clear()
-            self.emit = np.ones((1024, self.k))
+        self.learn(set().union(*texts))
         chunks = np.array([-(-len(t) // CHUNK) for t in texts], np.int64)
         mask = np.zeros((int(chunks.sum()), CHUNK), bool)
         place = np.zeros(mask.shape, np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connect
-from .storage import bounded_batches, in_slices, materialize
+from .storage import Scratch, bounded_batches, in_slices, materialize
 
 #: Widths of the ring's segments, chain length of a join key, and fingerprints of one key that are compared in pairs.
 WIDTHS, CHAIN, IN_PAIRS = (8, 7, 7, 7, 7, 7, 7, 7, 7), 4, 64
@@ -33,6 +33,19 @@ STARTS = (0, *accumulate(WIDTHS))[:-1]
 DISTANCE = 2
 
 
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, given as rows of eight bytes, first byte first: a bit is set if it is set in
+    over half of them."""
+    n = len(hashes)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, n, 255 * 256):
+        bits = np.unpackbits(hashes[at : at + 255 * 256].reshape(-1)).view(np.uint64).reshape(-1, 8)
+        whole = len(bits) // 255 * 255
+        for lanes in ([bits[:whole].reshape(-1, 255, 8).sum(axis=1)] if whole else []) + [bits[whole:].sum(axis=0, keepdims=True)]:
+            counts += np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The SimHash of a whole text: a bit is set if it is set in over half the shingles' hashes."""
     split = text.encode().lower().split() if text else []  # bytes: lower() and split() know ASCII only
@@ -45,14 +58,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     starts = [0, *(e + 1 for e in ends[: len(ends) - words])]
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, ends[words - 1 :])])
-    n = len(starts)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 255 * 256):
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8, -1, 0)[8 * at : 8 * (at + 255 * 256)]).view(np.uint64).reshape(-1, 8)
-        whole = len(bits) // 255 * 255
-        for lanes in ([bits[:whole].reshape(-1, 255, 8).sum(axis=1)] if whole else []) + [bits[whole:].sum(axis=0, keepdims=True)]:
-            counts += np.ascontiguousarray(lanes).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return folded(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
 
 
 def fingerprints(df: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
@@ -120,14 +126,15 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """``a`` < ``b``: links between the distinct fingerprints ``fp`` that span every group within two bits.
 
-    Each pair within two bits is joined by a path of rows; pairs that other rows join already may be left out.
+    Each pair within two bits is joined by a path of rows; pairs that other rows join already may be left out. What it
+    reads lies in ``scratch``.
     """
     keyed = distinct.select("fp", F.explode(F.array(*map(_chain_key, range(9)))).alias("key")).select("fp", "key.*")
     shared = keyed.groupBy("start", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    grouped = materialize(keyed.join(shared, ["start", "bits"]).select("fp", "start", "bits", "n"), "simhash-keys")
+    grouped = scratch.table(keyed.join(shared, ["start", "bits"]).select("fp", "start", "bits", "n"), "keys")
     few = grouped.filter(F.col("n") <= IN_PAIRS).groupBy("start", "bits").agg(F.collect_list("fp").alias("members"))
     in_pairs = few.select("start", "members").mapInArrow(_pairs, "a long, b long")
     near = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda k: F.col("fp").bitwiseXOR(F.when(k == 64, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
@@ -151,16 +158,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 3) -> DataF
     the smallest unless all its group's keys are null; then the component is null. Repeated rows stay.
     """
     hashed = materialize(fingerprints(df, key, text, words), "simhash-fingerprints")
-    nodes = materialize(hashed.groupBy("fp").agg(F.min(key).alias("first")), "simhash-nodes")
-    roots = connect(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = materialize(placed.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "simhash-components")
+    with Scratch(df.sparkSession, "simhash") as scratch:
+        nodes = scratch.table(hashed.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
+        roots = connect(links(nodes.select("fp"), scratch), scratch)
+        placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+        component = materialize(placed.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "simhash-components")
     return hashed.join(component, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, key: str, text: str, words: int = 3) -> DataFrame:
-    """The rows of ``df`` whose key is the smallest of its near-duplicate component; rows with a null key stay."""
-    found = near_duplicates(df.select(key, text), key, text, words)
-    gone = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return df.join(gone, key, "left_anti")

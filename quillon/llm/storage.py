@@ -6,21 +6,29 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes that each of the two generations of a worker's memo may hold; bytes of an Arrow batch of texts.
+MEMO_BYTES, BATCH_BYTES = 32 << 20, "8m"
+
 _own: str | None = None
 _built: dict[tuple[str, str], object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Only a session within one process, as in tests, may leave it unset: it
+    gets a folder of our own. On a cluster that would be another disk for each machine, so there it is an error."""
     global _own
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="quillon-")
     return f"file://{_own}"
@@ -41,10 +49,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables between the steps of one operator, in a folder of the shared one that goes when the ``with`` block ends.
+
+    A result must be written elsewhere before that (``materialize``); a table written again replaces the one before.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.held = spark, fresh_path(spark, name), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._remove(self.path)
+
+    def _remove(self, path: str) -> None:
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("error").parquet(path)
+        if name in self.held:
+            self._remove(self.held[name])
+        self.held[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._remove(self.held.pop(name))
+
+
 class Shared:
     """A broadcast value, and what each Python worker builds from it once.
 
-    Only for vocabularies and models, whose size does not depend on the data that they are applied to.
+    Only for vocabularies and models, whose size does not depend on the data that they are applied to. A worker holds
+    what it built for one value at a time: workers live on through the stages of a pipeline, and what an earlier one
+    built is let go before the next one's is made.
     """
 
     def __init__(self, spark: SparkSession, value):
@@ -53,24 +96,51 @@ class Shared:
     def built(self, build):
         key = (self.token, build.__qualname__)
         if key not in _built:
-            while len(_built) >= 4:
-                _built.pop(next(iter(_built)))
+            forget()
             _built[key] = build(self.sent.value)
         return _built[key]
 
 
 def forget() -> None:
-    """Lets go of what earlier stages built in this Python worker, for a stage that uses none of it."""
+    """Lets go of what earlier stages built in this Python worker."""
     _built.clear()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
+class Memo(dict):
+    """What a worker knows already: two generations of at most ``most`` bytes each, so what is asked for again stays.
+
+    ``make`` gives the value of a key that is not known."""
+
+    def __init__(self, most: int = MEMO_BYTES):
+        super().__init__()
+        self.most, self.size, self.older = most, 0, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        need = getsizeof(key) + getsizeof(value) + 80  # its share of the table, as measured
+        if need < self.most >> 10:  # a key of many kilobytes hardly comes twice
+            if self.size + need > self.most:
+                self.older, self.size = dict(self), 0
+                self.clear()
+            self.size += need
+            self[key] = value
+        return value
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """Has the session hand texts to Python in Arrow batches of about 8 MB: with several Python workers to an executor,
-    batches of the default size are most of their memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Has the session hand texts to Python in Arrow batches of about 8 MB, unless it sets a size itself: with several
+    Python workers to an executor, batches of the default size are most of their memory."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) in ("64MB", str(64 << 20), f"{64 << 20}b"):  # the default
+        conf.set(name, BATCH_BYTES)
     return df
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import Shared, bounded_batches, remainder, thinned
+from .storage import Memo, Shared, bounded_batches, remainder, thinned
 
 #: Fixed list: terms that name groups, swapped for each other within a language.
 IDENTITY_TERMS = {
@@ -56,23 +56,16 @@ def features_of(word: str) -> list[int]:
     return [zlib.crc32(p.encode()) % (BUCKETS - 1) + 1 for p in parts]
 
 
-class Intensities(dict):
-    """Maps a word to its intensity; a memo of bounded size."""
+class Intensities(Memo):
+    """Maps a word to its intensity."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.older = weights, {}
-
-    def __missing__(self, word: str) -> float:
-        value = self.older.get(word)
-        if value is None:
-            z = sum(map(self.weights.item, features_of(word))) + self.weights.item(0)
-            value = z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-        if len(self) >= 400_000:  # what is asked for again moves on, the rest goes
-            self.older = dict(self)
-            self.clear()
-        self[word] = value
-        return value
+        self.weights = weights
+
+    def make(self, word: str) -> float:
+        z = sum(map(self.weights.item, features_of(word))) + self.weights.item(0)
+        return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
 
     def score(self, text: str | None) -> float:
         return -math.expm1(-math.fsum(map(self.__getitem__, words_of(text))))  # exactly rounded: any order gives the same
