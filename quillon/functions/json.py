@@ -104,12 +104,54 @@ def text_of(value: Column) -> Column:
     return F.when(value.isNull(), "null").otherwise(F.substr(whole, F.lit(6), F.length(whole) - 6))
 
 
+#: Control characters, which no JSON text holds: they stand around numbers for a while.
+_OPEN, _CLOSE = "\x01", "\x02"
+
+
+def parsed_with_rest(text: Column) -> Column:
+    """The variant of an array of the text's value and a mark after it. The parser stops behind the first value of a
+    text; the mark is where it should be only if the text is one value and nothing else."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), _mark(text), F.lit("]")))
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text).cast("string")
+
+
+def only_value(with_rest: Column, text: Column) -> Column:
+    """The text's value out of ``parsed_with_rest``; null if the text is not one JSON value."""
+    alone = (F.try_variant_get(with_rest, "$[1]", "bigint") == F.xxhash64(text)) & F.try_variant_get(with_rest, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(with_rest, "$[0]", "variant"))
+
+
+def half_characters(text: Column) -> Column:
+    """Whether an escape of half a character (a surrogate) stands without its other half."""
+    plain = F.regexp_replace(text, r"\\\\", "  ")  # escaped backslashes
+    rest = F.regexp_replace(plain, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "")
+    return F.when(F.contains(text, F.lit("\\ud")) | F.contains(text, F.lit("\\uD")), rest.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")).otherwise(False)
+
+
+def marked(document: Column) -> Column:
+    """The document with its numbers as strings that start with a control character, so that reading and writing them
+    keeps their text; ``unmarked`` turns them back."""
+    around = F.regexp_replace(document, r'("(?:[^"\\]|\\.)*+")|(-?[0-9][0-9.eE+-]*+)', f"$1{_OPEN}$2{_CLOSE}")
+    around = F.replace(around, F.lit(_OPEN + _CLOSE), F.lit(""))
+    return F.replace(F.replace(around, F.lit(_OPEN), F.lit('"\\u0001')), F.lit(_CLOSE), F.lit('"'))
+
+
+def unmarked(text: Column) -> Column:
+    """The JSON text of a container or number that was read from a marked document."""
+    inside = F.when(F.contains(text, F.lit('"\\u0001')), F.regexp_replace(text, r'"\\u0001([^"]*)"', "$1")).otherwise(text)
+    return F.when(text.startswith(_OPEN), F.substr(text, F.lit(2))).otherwise(inside)
+
+
 def capture(document: Column, *parts: str) -> Column:
-    """The value under a path as JSON text with its number text kept (white space dropped); null if absent."""
-    path = path_of(parts)
-    v = F.try_variant_get(F.try_parse_json(document), path, "variant")
+    """The value under a path as JSON text: members in their order, numbers as they are written, no white space; null if
+    absent."""
+    v = F.try_variant_get(F.try_parse_json(document), path_of(parts), "variant")
     named = "$" + "".join(f"['{p}']" for p in parts)
-    return F.when(v.isNull(), None).when(F.schema_of_variant(v) == "STRING", F.to_json(v)).when(F.schema_of_variant(v) == "VOID", "null").otherwise(F.coalesce(F.get_json_object(document, named), F.to_json(v)))
+    kept = F.coalesce(unmarked(F.get_json_object(marked(document), named)), F.to_json(v))
+    return F.when(v.isNull(), None).when(F.schema_of_variant(v) == "STRING", F.to_json(v)).when(F.schema_of_variant(v) == "VOID", "null").otherwise(kept)
 
 
 def members(pairs: list[tuple[Column | str, Column | None]]) -> Column:

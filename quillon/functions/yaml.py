@@ -77,7 +77,7 @@ class _Reader:
     def __init__(self, text: str):
         import yaml
 
-        self.y, self.events = yaml, yaml.parse(text, Loader=yaml.SafeLoader)
+        self.y, self.events = yaml, yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))  # libyaml if there
         self.anchors: dict[str, Any] = {}
         self.nodes = 0
 

@@ -6,7 +6,7 @@ compile it into Catalyst columns; nothing here touches data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import types as T
@@ -18,10 +18,13 @@ SCALARS: dict[str, T.DataType] = {
     "ulong": T.DecimalType(20, 0), "uint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(),
     "bytes": T.BinaryType(), "timestamp": T.StructType([T.StructField("seconds", T.LongType()), T.StructField("nanos", T.IntegerType())]),
     "duration": T.StructType([T.StructField("seconds", T.LongType()), T.StructField("nanos", T.IntegerType())]),
+    "value": T.VariantType(), "struct": T.VariantType(), "listvalue": T.VariantType(),
     "fieldmask": T.ArrayType(T.StringType()), "any": T.StructType([T.StructField("type_url", T.StringType()), T.StructField("value", T.StringType())]),
 }
 INTEGERS = {"byte": (-128, 127), "short": (-32768, 32767), "int": (-(1 << 31), (1 << 31) - 1), "long": (-(1 << 63), (1 << 63) - 1), "uint": (0, (1 << 32) - 1), "ulong": (0, (1 << 64) - 1)}
-PROTO_ONLY = {"uint", "bytes", "timestamp", "duration", "fieldmask", "any"}
+PROTO_ONLY = {"uint", "bytes", "timestamp", "duration", "fieldmask", "any", "value", "struct", "listvalue"}
+#: What the dynamic types of proto models are on the wire, as kinds of JSON; None: any kind.
+DYNAMIC = {"value": None, "struct": "OB", "listvalue": "AR"}
 
 #: Deepest nesting, and the size of a collection that one more element may still exceed.
 MAX_DEPTH, MAX_ITEMS = 255, 1_000_000
@@ -66,6 +69,37 @@ class Singleton:
     """Any object stands for the one instance."""
 
 
+@dataclass(frozen=True)
+class Codec:
+    """A type that this library does not know: how its JSON text becomes a column of ``spark_type``, and back. Stands
+    wherever a type stands, in lists and maps too. A null from ``decoder`` is an error of the document."""
+
+    name: str
+    spark_type: str
+    decoder: Any = field(compare=False)  # Column (the value as JSON text) -> Column
+    encoder: Any = field(compare=False)  # Column -> Column (JSON text)
+
+
+class Codecs:
+    """A registry of codecs by type name, for models that name their types: ``codecs["Money"]``."""
+
+    def __init__(self, *codecs: Codec):
+        self._known: dict[str, Codec] = {}
+        for c in codecs:
+            self.register(c)
+
+    def register(self, codec: Codec) -> Codec:
+        if codec.name in self._known or codec.name in SCALARS:
+            raise ModelError(f"{codec.name}: there is a codec for this type")
+        self._known[codec.name] = codec
+        return codec
+
+    def __getitem__(self, name: str) -> Codec:
+        if name not in self._known:
+            raise ModelError(f"{name}: no codec for this type")
+        return self._known[name]
+
+
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -215,7 +249,7 @@ def check_type(kind: Any, proto: bool, where: str) -> None:
         check_type(kind.item, proto, where)
     elif isinstance(kind, Map):
         check_type(kind.value, proto, where)
-    elif not isinstance(kind, Model | Enum | Sealed | Inferred | Singleton):
+    elif not isinstance(kind, Model | Enum | Sealed | Inferred | Singleton | Codec):
         raise ModelError(f"{where}: unknown type {kind!r}")
 
 
@@ -227,7 +261,7 @@ def check_yaml(model: Model) -> None:
         inner = f.type
         while isinstance(inner, List | Map):
             inner = inner.item if isinstance(inner, List) else inner.value
-        if isinstance(inner, Model | Sealed | Inferred | Singleton) or inner == "json" or (inner == "bytes" and not model.proto):
+        if isinstance(inner, Model | Sealed | Inferred | Singleton | Codec) or inner == "json" or (inner == "bytes" and not model.proto):
             raise ModelError(f"{model.name}.{f.name}: not in a YAML model")
 
 
@@ -253,6 +287,8 @@ def spark_type(kind: Any) -> T.DataType:
         return T.StringType()
     if isinstance(kind, Singleton):
         return T.BooleanType()
+    if isinstance(kind, Codec):
+        return T._parse_datatype_string(kind.spark_type)
     if isinstance(kind, List):
         return T.ArrayType(spark_type(kind.item))
     if isinstance(kind, Map):
@@ -276,7 +312,3 @@ def optional(name: str, kind: Any, **options) -> Field:
 
 def defaulted(name: str, kind: Any, default: Any, nullable: bool = False, **options) -> Field:
     return Field(name, kind, default=default, has_default=True, nullable=nullable or default is None, **options)
-
-
-def with_fields(model: Model, **changes) -> Model:
-    return replace(model, **changes)

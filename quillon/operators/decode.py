@@ -1,8 +1,11 @@
 """Decoding: a column of JSON text and a model become a column of values and a column of errors.
 
-The document is parsed once, into a VARIANT column; each field is an expression over paths of that column, so
-Catalyst drops the fields that a query does not use. Every (sub)expression yields value and error together and is bound
-once, so nested models do not multiply the work. The first error in the order of the fields counts.
+The document is parsed once, into a VARIANT column; each field is an expression over paths of that column. Every
+(sub)expression yields value and error together and is bound once, so nested models do not multiply the work. The first
+error in the order of the fields counts, so every field is read, whether a query uses it or not.
+
+Opaque parts (``json`` fields, and what custom decoders get) keep their members' order and the text of their numbers:
+for models that have such parts a second reading of the document, with its numbers as strings, goes along (``kept``).
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import json as J
 from ..functions import proto as P
-from ..model import INTEGERS, MAX_DEPTH, MAX_ITEMS, Enum, Envelope, Field, Inferred, List, Map, Model, ModelError, Sealed, Singleton, spark_type
+from ..model import DYNAMIC, INTEGERS, MAX_DEPTH, MAX_ITEMS, Codec, Enum, Envelope, Field, Inferred, List, Map, Model, ModelError, Sealed, Singleton, check_yaml, spark_type
 from .errors import error, explained
 
 #: Fixed lists: texts that stand for true and false under coercion.
@@ -39,26 +42,79 @@ def _pair(value: Column, err: Column | None, kind: T.DataType) -> Column:
     return F.struct(value.cast(kind).alias("value"), (err if err is not None else F.lit(None)).cast(NONE).alias("error"))
 
 
-def _decoded(v: Column, k: Column, kind: Any, where: Column, o: Options, proto: bool) -> Column:
+def _decoded(v: Column, k: Column, kind: Any, where: Column, o: Options, proto: bool, kept: Column | None = None) -> Column:
     """struct<value, error> of a variant that is there and not JSON null. ``k``: its kind code; ``where``: its path as text."""
     made = spark_type(kind)
     if isinstance(kind, Model):
-        return _object(v, k, kind, where, o)
+        return _object(v, k, kind, where, o, kept=kept)
     if isinstance(kind, Sealed):
-        return _sealed(v, k, kind, where, o)
+        return _sealed(v, k, kind, where, o, kept=kept)
     if isinstance(kind, Inferred):
-        return _inferred(v, k, kind, where, o)
+        return _inferred(v, k, kind, where, o, kept=kept)
     if isinstance(kind, Singleton):
         return _outcome(F.lit(True), F.when(k != "OB", "kind"), where, made)
     if isinstance(kind, List):
-        return _list(v, kind, where, o, proto)
+        return _list(v, kind, where, o, proto, kept)
     if isinstance(kind, Map):
-        return _map(v, kind, where, o, proto)
+        return _map(v, kind, where, o, proto, kept)
     if isinstance(kind, Enum):
         return _enum(v, k, kind, where, proto)
+    if kind == "json":
+        return _pair(_as_written(v, k, kept), None, made)
+    if isinstance(kind, Codec):
+        found = kind.decoder(_as_written(v, k, kept)).cast(made)
+        return _outcome(found, F.when(found.isNull(), "format"), where, made)
+    if kind in DYNAMIC:
+        return _outcome(v, F.when(k != DYNAMIC[kind], "kind") if DYNAMIC[kind] else F.lit(None), where, made)
     return _scalar(v, k, kind, where, o, proto, made)
 
 
+def _as_written(v: Column, k: Column, kept: Column | None) -> Column:
+    """The JSON text of an opaque value."""
+    return F.to_json(v) if kept is None else F.when(k == "ST", F.to_json(v)).otherwise(F.coalesce(J.unmarked(kept), F.to_json(v)))
+
+
+def _opaque(kind: Any) -> T.DataType | None:
+    """The type by which ``from_json`` reads the opaque parts of a type; None if it has none."""
+    if kind == "json" or isinstance(kind, Codec):
+        return T.StringType()
+    if isinstance(kind, List | Map):
+        inner = _opaque(kind.item if isinstance(kind, List) else kind.value)
+        return None if inner is None else T.ArrayType(inner) if isinstance(kind, List) else T.MapType(T.StringType(), inner)
+    tree: dict = {}
+    for model in kind.options.values() if isinstance(kind, Sealed | Inferred) else (kind,) if isinstance(kind, Model) else ():
+        _put_opaque(model, tree)
+    return _tree_type(tree)
+
+
+def _put_opaque(model: Model, tree: dict) -> None:
+    for f in model.fields:
+        if f.ignored:
+            continue
+        if f.keys:
+            for inner in f.type.options.values() if isinstance(f.type, Inferred) else (f.type,):
+                _put_opaque(inner, tree)
+        elif (kind := T.StringType() if f.decoder is not None else _opaque(f.type)) is not None:
+            at, parts = tree, model.path(f)
+            for p in parts[:-1]:
+                at = at.setdefault(p, {}) if isinstance(at, dict) else at
+            if not isinstance(at, dict) or at.setdefault(parts[-1], kind) != kind:
+                raise ModelError(f"{model.name}.{f.name}: two subclasses differ in what is opaque there")
+
+
+def _tree_type(tree: dict) -> T.StructType | None:
+    return T.StructType([T.StructField(k, _tree_type(x) if isinstance(x, dict) else x) for k, x in tree.items()]) if tree else None
+
+
+def _kept_at(kept: Column | None, kind: Any, parts: tuple[str, ...]) -> Column | None:
+    """What stands at a path of the second reading, if a value of that type has opaque parts."""
+    if kept is None or kind is None:
+        return None
+    for p in parts:
+        kept = kept.getField(p)
+    return kept
+
+
 def _code(v: Column) -> Column:
     """The kind of a variant as two letters of its type's name (see NUMBERS); null if there is none."""
     return F.substring(F.schema_of_variant(v), 1, 2)
@@ -86,8 +142,6 @@ def _text(v: Column, k: Column) -> Column:
 def _scalar(v: Column, k: Column, kind: str, where: Column, o: Options, proto: bool, made: T.DataType) -> Column:
     get = lambda to: F.try_variant_get(v, "$", to)
     number = k.isin(*NUMBERS)
-    if kind == "json":
-        return _pair(F.to_json(v), None, made)
     if kind in ("string", "char"):
         value = F.when(k == "ST", get("string"))
         if o.yaml:
@@ -163,23 +217,24 @@ def _enum(v: Column, k: Column, kind: Enum, where: Column, proto: bool) -> Colum
     return _outcome(value, F.when(~text, "kind").when(value.isNull(), "enum"), where, T.StringType())
 
 
-def _element(x: Column, kind: Any, where: Column, o: Options, proto: bool, nullable: bool) -> Column:
+def _element(x: Column, kind: Any, where: Column, o: Options, proto: bool, nullable: bool, kept: Column | None) -> Column:
     made = spark_type(kind)
     absent = _pair(F.lit(None), None if nullable else error(where, "null"), made)
-    return _cell(x, lambda v, k: F.when(k == "VO", absent).otherwise(_decoded(v, k, kind, where, o, proto)))
+    return _cell(x, lambda v, k: F.when(k == "VO", absent).otherwise(_decoded(v, k, kind, where, o, proto, kept)))
 
 
 def _drops(kind: Any) -> bool:
     return isinstance(kind, Model) and kind.resilient
 
 
-def _list(v: Column, kind: List, where: Column, o: Options, proto: bool) -> Column:
+def _list(v: Column, kind: List, where: Column, o: Options, proto: bool, kept: Column | None) -> Column:
     made = spark_type(kind)
+    kept = kept if _opaque(kind) is not None else None
     items = F.try_variant_get(v, "$", "array<variant>")
     drop = _drops(kind.item)
 
     def decoded(xs: Column) -> Column:
-        each = F.transform(xs, lambda x, i: _element(x, kind.item, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")), o, proto, kind.item_nullable or drop))
+        each = F.transform(xs, lambda x, i: _element(x, kind.item, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")), o, proto, kind.item_nullable or drop, None if kept is None else F.get(kept, i)))
 
         def gathered(es: Column) -> Column:
             values = F.transform(es, lambda e: e["value"])
@@ -195,12 +250,13 @@ def _list(v: Column, kind: List, where: Column, o: Options, proto: bool) -> Colu
     return F.when(items.isNull(), _pair(F.lit(None), error(where, "kind"), made)).otherwise(decoded(items))
 
 
-def _map(v: Column, kind: Map, where: Column, o: Options, proto: bool) -> Column:
+def _map(v: Column, kind: Map, where: Column, o: Options, proto: bool, kept: Column | None) -> Column:
     made = spark_type(kind)
+    kept = kept if _opaque(kind) is not None else None
     entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
 
     def decoded(xs: Column) -> Column:
-        each = F.transform(xs, lambda x: F.struct(x["key"].alias("key"), _element(x["value"], kind.value, F.concat(where, F.lit("."), x["key"]), o, proto, True).alias("v")))
+        each = F.transform(xs, lambda x: F.struct(x["key"].alias("key"), _element(x["value"], kind.value, F.concat(where, F.lit("."), x["key"]), o, proto, True, None if kept is None else F.try_element_at(kept, x["key"])).alias("v")))
 
         def gathered(es: Column) -> Column:
             values = F.map_from_entries(F.transform(es, lambda e: F.struct(e["key"], e["v"]["value"])))
@@ -226,26 +282,27 @@ def _raw(v: Column, model: Model, f: Field) -> Column:
     return F.try_variant_get(v, J.path_of(model.path(f)), "variant")
 
 
-def _field(v: Column, model: Model, f: Field, where: Column, o: Options, cell: tuple[Column, Column] | None = None) -> Column:
+def _field(v: Column, model: Model, f: Field, where: Column, o: Options, cell: tuple[Column, Column] | None = None, kept: Column | None = None) -> Column:
     """struct<value, error> of a field of the object in ``v``. ``cell``: the field's own variant and kind code."""
     made = T._parse_datatype_string(f.spark_type) if f.spark_type else spark_type(f.type)
     if f.ignored:
         return _pair(_default(f, made), None, made)
     if f.keys:
-        return _collected(v, f, where, o, made)
-    use = lambda raw, k: _present(v, raw, k, model, f, where, o, made)
+        return _collected(v, f, where, o, made, kept)
+    kept = _kept_at(kept, f.decoder or _opaque(f.type), model.path(f))
+    use = lambda raw, k: _present(v, raw, k, model, f, where, o, made, kept)
     return use(*cell) if cell else _cell(_raw(v, model, f), use)
 
 
-def _present(v: Column, raw: Column, k: Column, model: Model, f: Field, where: Column, o: Options, made: T.DataType) -> Column:
+def _present(v: Column, raw: Column, k: Column, model: Model, f: Field, where: Column, o: Options, made: T.DataType, kept: Column | None) -> Column:
     parts = model.path(f)
     here = F.concat(where, F.lit(J.shown_path(parts)[1:]))
     default = _default(f, made)
     if f.decoder is not None:
-        found = f.decoder(F.to_json(raw)).cast(made)
+        found = f.decoder(_as_written(raw, k, kept)).cast(made)
         read = _outcome(found, F.when(found.isNull(), "format"), here, made)
     else:
-        read = _decoded(raw, k, f.type, here, o, model.proto)
+        read = _decoded(raw, k, f.type, here, o, model.proto, kept)
     absent = _pair(default, None, made) if f.optional else _pair(F.lit(None), error(here, "missing"), made)
     null = _pair(F.lit(None), None, made) if f.nullable else _pair(F.lit(None), error(here, "null"), made)
     if model.proto and f.has_default:
@@ -265,12 +322,12 @@ def _present(v: Column, raw: Column, k: Column, model: Model, f: Field, where: C
     return F.when(k.isNull(), absent).when(k == "VO", null).otherwise(read)
 
 
-def _collected(v: Column, f: Field, where: Column, o: Options, made: T.DataType) -> Column:
+def _collected(v: Column, f: Field, where: Column, o: Options, made: T.DataType, kept: Column | None) -> Column:
     """A nested model whose keys stand among the field's siblings."""
     inner = f.type
     there = [(raw := F.try_variant_get(v, J.path_of((key,)), "variant")).isNotNull() & ~F.is_variant_null(raw) for key in inner.known_keys()]
     plain = Options(o.coerce_numbers, o.coerce_booleans, False, o.yaml)
-    read = (_inferred if isinstance(inner, Inferred) else _object)(v, F.lit("OB"), inner, where, plain)
+    read = (_inferred if isinstance(inner, Inferred) else _object)(v, F.lit("OB"), inner, where, plain, kept=kept)
     nothing = _pair(F.lit(None), None, made)
     if f.omit == "empty":
         return F.when(~J.any_of(there), nothing).otherwise(read)
@@ -292,9 +349,9 @@ def _gathered(v: Column, model: Model, parts: list[Column], where: Column, o: Op
     return F.when(first.isNull(), _pair(value, None, made)).otherwise(_pair(F.lit(None), first, made))
 
 
-def _object(v: Column, k: Column, model: Model, where: Column, o: Options, also: tuple[str, ...] = ()) -> Column:
+def _object(v: Column, k: Column, model: Model, where: Column, o: Options, also: tuple[str, ...] = (), kept: Column | None = None) -> Column:
     made = spark_type(model)
-    each = F.struct(*(_field(v, model, f, where, o).alias(f"f{i}") for i, f in enumerate(model.fields)))
+    each = F.struct(*(_field(v, model, f, where, o, None, kept).alias(f"f{i}") for i, f in enumerate(model.fields)))
     read = J.bind(each, lambda s: _gathered(v, model, [s[f"f{i}"] for i in range(len(model.fields))], where, o, also))
     return F.when(k != "OB", _pair(F.lit(None), error(where, "kind"), made)).otherwise(read)
 
@@ -309,10 +366,10 @@ def _tagged(options: dict[str, Model], name: str, made: T.StructType):
     return tag
 
 
-def _sealed(v: Column, k: Column, kind: Sealed, where: Column, o: Options) -> Column:
+def _sealed(v: Column, k: Column, kind: Sealed, where: Column, o: Options, kept: Column | None = None) -> Column:
     made = spark_type(kind)
     here = F.concat(where, F.lit(J.shown_path((kind.discriminator,))[1:]))
-    read = lambda n: J.bind(_object(v, k, kind.options[n], where, o, (kind.discriminator,)), _tagged(kind.options, n, made))
+    read = lambda n: J.bind(_object(v, k, kind.options[n], where, o, (kind.discriminator,), kept), _tagged(kind.options, n, made))
 
     def chosen(raw: Column, raw_k: Column) -> Column:
         name = F.when(raw_k == "ST", F.try_variant_get(raw, "$", "string"))
@@ -329,7 +386,7 @@ def _sealed(v: Column, k: Column, kind: Sealed, where: Column, o: Options) -> Co
     return _cell(F.try_variant_get(v, J.path_of((kind.discriminator,)), "variant"), chosen)
 
 
-def _inferred(v: Column, k: Column, kind: Inferred, where: Column, o: Options) -> Column:
+def _inferred(v: Column, k: Column, kind: Inferred, where: Column, o: Options, kept: Column | None = None) -> Column:
     made = spark_type(kind)
     every = kind.known_keys()
     has = {key: F.try_variant_get(v, J.path_of((key,)), "variant").isNotNull() for key in every}
@@ -341,10 +398,17 @@ def _inferred(v: Column, k: Column, kind: Inferred, where: Column, o: Options) -
             if not f.optional:
                 fits = fits & has[m.wire(f)]
         fits = fits & J.any_of([has[key] for key in own])
-        chosen = chosen.when(fits, J.bind(_object(v, k, m, where, o), _tagged(kind.options, n, made)))
+        chosen = chosen.when(fits, J.bind(_object(v, k, m, where, o, kept=kept), _tagged(kind.options, n, made)))
     return chosen.otherwise(_pair(F.lit(None), error(where, "inference"), made))
 
 
+def _second_reading(text: Column, opaque: T.DataType) -> Column:
+    """The opaque parts of a document, see ``_opaque``, with their numbers marked."""
+    if opaque == T.StringType():
+        return F.from_json(F.concat(F.lit('{"v":'), J.marked(text), F.lit("}")), T.StructType([T.StructField("v", opaque)]))["v"]
+    return F.from_json(J.marked(text), opaque, {"allowNonNumericNumbers": "false"})
+
+
 def prepare(spark) -> None:
     """Session settings that decoding relies on: of duplicate keys the last one counts."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
@@ -360,11 +424,16 @@ def decode(df: DataFrame, column: str, kind: Any, options: Options | None = None
     o = options or Options()
     if mode not in ("permissive", "drop", "failfast"):
         raise ModelError(f"unknown mode {mode}")
+    if o.yaml and isinstance(kind, Model):
+        check_yaml(kind)
     text = F.col(column) if df.schema[column].dataType == T.StringType() else F.when(F.is_valid_utf8(F.col(column).cast("string")), F.col(column).cast("string"))
     made = spark_type(kind)
     root = F.lit("$")
-    docs = df.withColumns({"__doc": F.try_parse_json(text), "__deep": F.coalesce(J.deeper_than(text, MAX_DEPTH), F.lit(False))})
-    docs = docs.withColumn("__k", _code(F.col("__doc")))
+    docs = df.withColumns({"__both": J.parsed_with_rest(text), "__deep": F.coalesce(J.deeper_than(text, MAX_DEPTH), F.lit(False)), "__half": F.coalesce(J.half_characters(text), F.lit(False))})
+    docs = docs.withColumn("__doc", F.when(~F.col("__half"), J.only_value(F.col("__both"), text))).withColumn("__k", _code(F.col("__doc")))
+    opaque = _opaque(kind)
+    docs = docs if opaque is None else docs.withColumn("__kept", _second_reading(text, opaque))
+    kept = None if opaque is None else F.col("__kept")
     doc, k = F.col("__doc"), F.col("__k")
     wrong = F.when(F.col(column).isNull(), None).when(doc.isNull(), error(root, "syntax")).when(F.col("__deep"), error(root, "depth")).when(k == "VO", error(root, "null"))
     unread = doc.isNull() | F.col("__deep") | (k == "VO")
@@ -372,11 +441,11 @@ def decode(df: DataFrame, column: str, kind: Any, options: Options | None = None
         # Each field's variant, then its kind, then its value and error are columns of their own: each is evaluated once.
         plain = [i for i, f in enumerate(kind.fields) if not f.ignored and not f.keys]
         docs = docs.withColumns({f"__v{i}": _raw(doc, kind, kind.fields[i]) for i in plain}).withColumns({f"__k{i}": _code(F.col(f"__v{i}")) for i in plain})
-        docs = docs.withColumns({f"__f{i}": _field(doc, kind, f, root, o, (F.col(f"__v{i}"), F.col(f"__k{i}")) if i in plain else None) for i, f in enumerate(kind.fields)})
+        docs = docs.withColumns({f"__f{i}": _field(doc, kind, f, root, o, (F.col(f"__v{i}"), F.col(f"__k{i}")) if i in plain else None, kept) for i, f in enumerate(kind.fields)})
         parts = [F.col(f"__f{i}") for i in range(len(kind.fields))]
         read = F.when(k != "OB", _pair(F.lit(None), error(root, "kind"), made)).otherwise(_gathered(doc, kind, parts, root, o))
     else:
-        read = _decoded(doc, k, kind, root, o, False)
+        read = _decoded(doc, k, kind, root, o, False, kept)
     staged = docs.withColumn("__read", F.when(unread, _pair(F.lit(None), wrong, made)).otherwise(read))
     # A filter on the value must not be pushed down as a second copy of the whole expression; it stops at a generator.
     staged = staged.select(*df.columns, F.explode(F.array("__read")).alias("__read"))
@@ -389,30 +458,62 @@ def decode(df: DataFrame, column: str, kind: Any, options: Options | None = None
     return out
 
 
-def route(df: DataFrame, column: str, envelope: Envelope, payload: str = "payload") -> DataFrame:
-    """Adds ``payload``: the opaque JSON text that an envelope's discriminator points at; null if it points at nothing."""
+def _routed(df: DataFrame, column: str, envelope: Envelope) -> DataFrame:
+    """Adds ``__doc``, the discriminator's ``__name`` and the ``__payload`` it points at, each evaluated once."""
     prepare(df.sparkSession)
-    doc = F.try_parse_json(F.col(column))
-    at = lambda key: F.try_variant_get(doc, J.path_of((key,)), "variant")
-    text = lambda key: F.when(~F.is_variant_null(at(key)), F.to_json(at(key)))
+    keys = [envelope.data_field] if envelope.data_field else [*envelope.payloads.values(), *filter(None, [envelope.fallback_field])]
+    both = df.withColumns({"__both": J.parsed_with_rest(F.col(column)), "__kept": _second_reading(F.col(column), T.StructType([T.StructField(k, T.StringType()) for k in dict.fromkeys(keys)]))})
+    docs = both.withColumn("__doc", J.only_value(F.col("__both"), F.col(column)))
+    doc = F.col("__doc")
+    name = F.try_variant_get(doc, J.path_of((envelope.discriminator,)), "string")
+
+    def text(key: str) -> Column:
+        v = F.try_variant_get(doc, J.path_of((key,)), "variant")
+        return F.when(~F.is_variant_null(v), _as_written(v, _code(v), F.col("__kept").getField(key)))
+
     if envelope.data_field:
-        return df.withColumn(payload, text(envelope.data_field))
-    name = F.try_variant_get(at(envelope.discriminator), "$", "string")
-    chosen = F.when(F.lit(False), F.lit(None).cast("string"))
-    for named, key in envelope.payloads.items():
-        chosen = chosen.when(name == named, text(key))
-    return df.withColumn(payload, chosen.otherwise(text(envelope.fallback_field) if envelope.fallback_field else F.lit(None)))
+        chosen = text(envelope.data_field)
+    else:
+        chosen = F.when(F.lit(False), F.lit(None).cast("string"))
+        for named, key in envelope.payloads.items():
+            chosen = chosen.when(F.col("__name") == named, text(key))
+        chosen = chosen.otherwise(text(envelope.fallback_field) if envelope.fallback_field else F.lit(None))
+    return docs.withColumn("__name", name).withColumn("__payload", chosen)
+
+
+def route(df: DataFrame, column: str, envelope: Envelope, payload: str = "payload") -> DataFrame:
+    """Adds ``payload``: the opaque JSON text that an envelope's discriminator points at; null if it points at nothing."""
+    return _routed(df, column, envelope).select(*(c for c in df.columns if c != payload), F.col("__payload").alias(payload))
 
 
 def route_typed(df: DataFrame, column: str, envelope: Envelope, payload: str = "payload", value: str = "value", err: str = "error") -> DataFrame:
     """As ``route``, and the payload decoded by its target as a tagged struct; types without a target keep the text alone."""
-    routed = route(df, column, envelope, payload)
-    options = {n: m for n, m in envelope.targets.items()}
+    options = envelope.targets
     made = T.StructType([T.StructField("_type", T.StringType()), *(T.StructField(n, spark_type(m)) for n, m in options.items())])
-    name = F.try_variant_get(F.try_parse_json(F.col(column)), J.path_of((envelope.discriminator,)), "string")
-    doc = F.try_parse_json(F.col(payload))
-    read = F.when(F.col(payload).isNull(), _pair(F.lit(None), None, made))
+    routed = _routed(df, column, envelope)
+    at = {n: envelope.data_field or envelope.payloads[n] for n in options}
+    read = F.when(F.col("__payload").isNull(), _pair(F.lit(None), None, made))
     for n, m in options.items():
-        read = read.when(name == n, J.bind(_cell(doc, lambda v, k, m=m: _object(v, k, m, F.lit("$"), Options())), _tagged(options, n, made)))
+        opaque = _opaque(m)
+        kept = None if opaque is None else _second_reading(F.col("__payload"), opaque)
+        part = F.try_variant_get(F.col("__doc"), J.path_of((at[n],)), "variant")  # the payload's own part, parsed with the rest
+        read = read.when(F.col("__name") == n, J.bind(_cell(part, lambda v, k, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(options, n, made)))
     staged = routed.withColumn("__read", read.otherwise(_pair(F.lit(None), None, made)))
-    return staged.withColumns({value: F.col("__read.value"), err: explained(F.col("__read.error"))}).drop("__read")
+    staged = staged.select(*df.columns, "__payload", F.explode(F.array("__read")).alias("__read"))  # see decode
+    return staged.select(*(c for c in df.columns if c not in (payload, value, err)), F.col("__payload").alias(payload), F.col("__read.value").alias(value), explained(F.col("__read.error")).alias(err))
+
+
+def unpack_dynamic(df: DataFrame, column: str, registry: dict[str, Model], value: str = "value", err: str = "error") -> DataFrame:
+    """Adds the payloads of ``any`` structs in ``column``, decoded by the model that the last part of their type URL names,
+    as a tagged struct; a type that the registry does not know is null without an error."""
+    prepare(df.sparkSession)
+    made = T.StructType([T.StructField("_type", T.StringType()), *(T.StructField(n, spark_type(m)) for n, m in registry.items())])
+    packed = F.col(column)
+    docs = df.withColumns({"__name": F.element_at(F.split(packed["type_url"], "/"), -1), "__doc": F.try_parse_json(packed["value"])})
+    read = F.when(F.col("__doc").isNull(), _pair(F.lit(None), None, made))
+    for n, m in registry.items():
+        opaque = _opaque(m)
+        kept = None if opaque is None else _second_reading(packed["value"], opaque)
+        read = read.when(F.col("__name") == n, J.bind(_cell(F.col("__doc"), lambda v, k, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(registry, n, made)))
+    staged = docs.withColumn("__read", read.otherwise(_pair(F.lit(None), None, made))).select(*df.columns, F.explode(F.array("__read")).alias("__read"))
+    return staged.select(*(c for c in df.columns if c not in (value, err)), F.col("__read.value").alias(value), explained(F.col("__read.error")).alias(err))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import proto as P
-from ..model import INTEGERS, Enum, Field, Inferred, List, Map, Model, Sealed, Singleton
+from ..model import DYNAMIC, INTEGERS, Codec, Enum, Field, Inferred, List, Map, Model, Sealed, Singleton
 
 
 def double_text(d: Column, decimals: int | None = None) -> Column:
@@ -50,6 +50,10 @@ def _text(c: Column, kind: Any, proto: bool, decimals: int | None) -> Column:
         return J.text_of(c)
     if kind == "json":
         return c
+    if isinstance(kind, Codec):
+        return kind.encoder(c)
+    if kind in DYNAMIC:
+        return F.to_json(c)
     if kind in ("float", "double"):
         return P.format_float(c) if proto else double_text(c, decimals)
     if kind in ("long", "ulong") and proto:
@@ -131,3 +135,8 @@ def encode(df: DataFrame, column: str, kind: Any, out: str = "json", decimals: i
     """Adds ``out``: the JSON text of the values in ``column``; a null value has a null text."""
     proto = isinstance(kind, Model) and kind.proto
     return df.withColumn(out, F.when(F.col(column).isNotNull(), _text(F.col(column), kind, proto, decimals)))
+
+
+def pack_any(df: DataFrame, column: str, name: str, kind: Model, out: str = "packed", prefix: str = "type.googleapis.com/") -> DataFrame:
+    """Adds ``out``: the values in ``column`` as ``any`` structs of the type ``name``; a null value stays null."""
+    return df.withColumn(out, P.pack_any(name, F.when(F.col(column).isNotNull(), _text(F.col(column), kind, kind.proto, None)), prefix))

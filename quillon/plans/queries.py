@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import proto as P
 from ..functions.yaml import json_to_yaml, yaml_to_json
-from ..model import Enum, Envelope, Inferred, List, Map, Model, Sealed, defaulted, optional, required
-from ..operators.decode import Options, decode, prepare, route, route_typed
-from ..operators.encode import encode
+from ..model import Codec, Codecs, Enum, Envelope, Inferred, List, Map, Model, Sealed, Singleton, defaulted, optional, required
+from ..operators.decode import Options, decode, prepare, route, route_typed, unpack_dynamic
+from ..operators.encode import encode, pack_any
+from ..operators.locate import locate
 from ..operators.project import project
-from ..sources.readers import join_yaml, read_yaml, transcode
+from ..sources.readers import join_yaml, read_documents, read_ndjson, read_yaml, transcode, write_ndjson
+from ..sources.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +86,7 @@ def json_project_orders(spark, sf_dir):
 @query("SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS author FROM customer")
 def project_flattened(spark, sf_dir):
     head = doc('{"id":', F.col("c_custkey"), ',"address":{"segment":', F.col("c_mktsegment"), ',"place":{"nation":', F.col("c_nationkey"), "}}")
-    tail = F.when(mod("c_custkey", 2) == 0, doc(',"metadata":{"author":', F.col("c_name"), "}}")).otherwise("}")
+    tail = F.when(mod("c_custkey", 2) == 0, doc(',"account":{"contact":{"name":', F.col("c_name"), "}}}")).otherwise("}")
     return project(table(spark, sf_dir, "customer").select(F.concat(head, tail).alias("json")), "json", FLAT).select("value.*")
 
 
@@ -136,28 +138,38 @@ def failfast_mode(spark, sf_dir):
 
 # Reshaping -----------------------------------------------------------------------------------------------------------
 
-FLAT = Model("Flat", (required("id", "long"), required("nation", "int", flatten="address.place.nation"), required("segment", "string", flatten="address.segment"), optional("author", "string", flatten="metadata.author")))
+FLAT = Model("Flat", (required("id", "long"), required("nation", "int", flatten="address.place.nation"), required("segment", "string", flatten="address.segment"), optional("author", "string", flatten="account.contact.name")))
 
 
 @query("SELECT c_custkey AS id, c_nationkey AS nation, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS author FROM customer")
 def flatten_customer(spark, sf_dir):
     head = doc('{"id":', F.col("c_custkey"), ',"address":{"segment":', F.col("c_mktsegment"), ',"place":{"nation":', F.col("c_nationkey"), "}}")
-    tail = F.when(mod("c_custkey", 2) == 0, doc(',"metadata":{"author":', F.col("c_name"), "}}")).otherwise("}")
+    tail = F.when(mod("c_custkey", 2) == 0, doc(',"account":{"contact":{"name":', F.col("c_name"), "}}}")).otherwise("}")
     return decode(table(spark, sf_dir, "customer").select(F.concat(head, tail).alias("json")), "json", FLAT).select("value.*")
 
 
-WRAPPED = Model("Wrapped", (required("id", "long"), required("name", "string", wrap="metadata.info"), required("token", "int", wrap="metadata.auth"), required("active", "boolean", wrap="system.flags")))
+SHIPPED = Model("Shipped", (
+    required("order", "long"), required("line", "int"), required("part", "long", wrap="goods"), required("supplier", "long", wrap="goods.source"),
+    required("quantity", "long", wrap="goods"), required("mode", "string", wrap="transport.by"), required("late", "boolean", wrap="transport"),
+))
 
 
-@query("""SELECT c_custkey AS id, '{"id":' || c_custkey || ',"metadata":{"info":{"name":"' || c_name || '"},"auth":{"token":' || c_nationkey || '}},"system":{"flags":{"active":' || (CASE WHEN c_acctbal > 0 THEN 'true' ELSE 'false' END) || '}}}' AS json FROM customer""")
-def wrap_customer(spark, sf_dir):
-    row = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("token"), (F.col("c_acctbal") > 0).alias("active"))
-    return encode(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), row.alias("row")), "row", WRAPPED).select("id", "json")
+@query("""SELECT l_orderkey AS "order", l_linenumber AS line, '{"order":' || l_orderkey || ',"line":' || l_linenumber || ',"goods":{"part":' || l_partkey || ',"source":{"supplier":' || l_suppkey || '},"quantity":' || l_quantity::BIGINT
+  || '},"transport":{"by":{"mode":"' || l_returnflag || '"},"late":' || (l_linenumber > 3) || '}}' AS json FROM lineitem""")
+def wrap_shipment(spark, sf_dir):
+    row = F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.floor("l_quantity").alias("quantity"), F.col("l_returnflag").alias("mode"), (F.col("l_linenumber") > 3).alias("late"))
+    return encode(table(spark, sf_dir, "lineitem").select(row.alias("row")), "row", SHIPPED).select("row.order", "row.line", "json")
 
 
-@query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS token, c_acctbal > 0 AS active FROM customer")
+@query("""SELECT l_orderkey AS "order", l_linenumber::INTEGER AS line, l_partkey AS part, l_suppkey AS supplier, l_quantity::BIGINT AS quantity, l_returnflag AS mode, l_linenumber > 3 AS late FROM lineitem""")
 def wrap_decodes_by_path(spark, sf_dir):
-    return decode(wrap_customer(spark, sf_dir).select("json"), "json", WRAPPED).select("value.*")
+    return decode(wrap_shipment(spark, sf_dir).select("json"), "json", SHIPPED).select("value.*")
+
+
+@query("""SELECT c_custkey AS id, '{"id":' || c_custkey || ',"address":{"place":{"nation":' || c_nationkey || '},"segment":"' || c_mktsegment || '"},"account":{"contact":{"name":' || CASE WHEN c_custkey % 2 = 0 THEN '"' || c_name || '"' ELSE 'null' END || '}}}' AS json FROM customer""")
+def flatten_encodes_by_path(spark, sf_dir):
+    """A flattened field is written where it was read."""
+    return encode(flatten_customer(spark, sf_dir).select(F.struct("id", "nation", "segment", "author").alias("row")), "row", FLAT).select("row.id", "json")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '$.a.b' END AS wrong, CASE WHEN s_suppkey % 2 <> 0 THEN s_nationkey END AS c FROM supplier")
@@ -270,11 +282,29 @@ def strict_unknown_keys(spark, sf_dir):
 
 @query("SELECT n_nationkey, CASE n_nationkey % 10 WHEN 9 THEN 9 END AS v, CASE WHEN n_nationkey % 10 <> 9 THEN 'syntax' END AS wrong FROM nation")
 def malformed_texts(spark, sf_dir):
-    bad = ('{"v":01}', '{"v":-}', '{"v":1.}', '{"v":1e}', '{"v":1,}', '{"v":1', '{"v":"\\ud800"', "", '{"v":1 "w":2}', '{"v":9}')
+    bad = ('{"v":01}', '{"v":-}', '{"v":1.}', '{"v":1e}', '{"v":1,}', '{"v":1', '{"v":1,"w":"\\ud800"}', "", '{"v":1 "w":2}', '{"v":9}')
     made = table(spark, sf_dir, "nation").select("n_nationkey", F.get(F.array(*map(F.lit, bad)), mod("n_nationkey", 10)).alias("json"))
     return decode(made, "json", Model("V", (required("v", "int"),))).select("n_nationkey", "value.v", F.col("error.code").alias("wrong"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'a' WHEN 5 THEN chr(128512) WHEN 6 THEN '\\ud83d' WHEN 7 THEN 'a' END AS v,
+  CASE WHEN p_partkey % 8 BETWEEN 1 AND 4 THEN 'syntax' END AS wrong FROM part""")
+def trailing_text(spark, sf_dir):
+    """What follows a document's value, and halves of characters, are errors and never lost in silence."""
+    texts = ('{"v":"a"}', '{"v":"a"}{"v":"b"}', '{"v":"a"},{"v":"b"}', '{"v":"a"}]', '{"v":"\\ude00\\ud83d"}', '{"v":"\\ud83d\\uDE00"}', '{"v":"\\\\ud83d"}', ' {"v":"a"}\n\t ')
+    made = table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, texts)), mod("p_partkey", 8).cast("int")).alias("json"))
+    return decode(made, "json", Model("V", (required("v", "string"),))).select("p_partkey", "value.v", F.col("error.code").alias("wrong"))
+
+
+@query("""SELECT o_orderkey, '{"z":1.10,"a":[1e400,"1e1",1' || o_orderkey || '000000000000000000000000000000000001,{"k":null,"b":"1.0\\u0001"}]}' AS kept,
+  '-0.50' AS number, '"t\\"x"' AS text, ['7.00', '[true,2.0]'] AS each, '{"u":5E-7}' AS below FROM orders""")
+def raw_field_verbatim(spark, sf_dir):
+    """Opaque fields keep the order of their members and the text of their numbers, wherever they stand."""
+    model = Model("Raw", (required("kept", "json"), required("number", "json"), required("text", "json"), required("each", List("json")), required("below", "json", flatten="deep.down")))
+    made = table(spark, sf_dir, "orders").select("o_orderkey", doc('{"kept": {"z":1.10, "a" :[1e400,"1e1",1', F.col("o_orderkey"), '000000000000000000000000000000000001,{"k":null,"b":"1.0\\u0001"}]},"number":-0.50,"text":"t\\"x","each":[7.00,[true,2.0]],"deep":{"down":{"u":5E-7}}}').alias("json"))
+    return decode(made, "json", model).select("o_orderkey", "value.*")
+
+
 @query("SELECT r_regionkey, CASE WHEN r_regionkey < 2 THEN NULL ELSE 'depth' END AS wrong FROM region")
 def depth_limit(spark, sf_dir):
     deep = F.when(F.col("r_regionkey") < 2, 250).otherwise(300)
@@ -307,6 +337,52 @@ def custom_codec(spark, sf_dir):
     return encode(decode(made, "raw", model), "value", model).select("s_suppkey", "value.loud", "json")
 
 
+@query("SELECT p_partkey, p_retailprice AS price, [p_retailprice, 2.5] AS history, CASE WHEN p_partkey % 4 = 0 THEN 'format' END AS wrong, '{\"price\":\"USD ' || p_size || '.5\",\"history\":[]}' AS json FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, 'format', NULL FROM part WHERE p_partkey % 4 = 0")
+def codec_registry(spark, sf_dir):
+    """A type of someone else's, by one codec for all fields, list items and map values of that type."""
+    amount = lambda raw: F.regexp_extract(J.as_string(raw), r"^USD ([0-9.]+)$", 1).try_cast("double")
+    codecs = Codecs(Codec("Money", "double", amount, lambda c: J.text_of(F.concat(F.lit("USD "), c.cast("string")))))
+    model = Model("Priced", (required("price", codecs["Money"]), required("history", List(codecs["Money"]))))
+    money = F.concat(F.when(mod("p_partkey", 4) == 0, "EUR ").otherwise("USD "), F.col("p_retailprice").cast("string"))
+    made = table(spark, sf_dir, "part").select("p_partkey", "p_size", doc('{"price":', money, ',"history":[', F.concat(F.lit("USD "), F.col("p_retailprice").cast("string")), ',"USD 2.5"]}').alias("raw"))
+    read = decode(made, "raw", model)
+    back = F.when(F.col("error").isNull(), F.struct((F.col("p_size") + 0.5).cast("double").alias("price"), F.array().cast("array<double>").alias("history")))
+    return encode(read.withColumn("row", back), "row", model).select("p_partkey", "value.price", "value.history", F.col("error.code").alias("wrong"), "json")
+
+
+@query("SELECT p_partkey, 2 AS last, 1 AS size, [p_size::BIGINT, -1] AS longs, [true, false] AS flags, [p_retailprice, 0.25] AS doubles, true AS one FROM part")
+def containers(spark, sf_dir):
+    """Of equal keys of a map the last counts; arrays of primitives; any object stands for a singleton."""
+    model = Model("Held", (required("by_name", Map("int")), required("longs", List("long")), required("flags", List("boolean")), required("doubles", List("double")), required("one", Singleton())))
+    made = table(spark, sf_dir, "part").select("p_partkey", doc('{"by_name":{"k":1,"k":2},"longs":[', F.col("p_size"), ',-1],"flags":[true,false],"doubles":[', F.col("p_retailprice"), ',0.25],"one":{"any":[1]}}').alias("json"))
+    v = decode(made, "json", model)
+    return v.select("p_partkey", F.col("value.by_name")["k"].alias("last"), F.size("value.by_name").alias("size"), "value.longs", "value.flags", "value.doubles", "value.one")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 0 END AS i, CASE p_partkey % 6 WHEN 0 THEN 0.1 WHEN 1 THEN 9007199254740993.0 WHEN 2 THEN 5e-324 END::DOUBLE AS d,
+  CASE WHEN p_partkey % 6 >= 2 AND p_partkey % 6 <> 2 THEN ['range', 'range', 'kind'][p_partkey % 6 - 2] END AS wrong FROM part""")
+def number_edges(spark, sf_dir):
+    """A leading zero, correctly rounded doubles, and what is not finite."""
+    texts = ('{"i":0.5,"d":0.1}', '{"i":0,"d":9007199254740993}', '{"d":5e-324}', '{"i":0,"d":1e400}', '{"i":0,"d":-1e999}', '{"i":0,"d":"NaN"}')
+    made = table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, texts)), mod("p_partkey", 6).cast("int")).alias("json"))
+    return decode(made, "json", Model("E", (optional("i", "int"), required("d", "double")))).select("p_partkey", "value.i", "value.d", F.col("error.code").alias("wrong"))
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'size' END AS wrong, CASE WHEN r_regionkey > 0 THEN 3 END AS n FROM region")
+def size_limit(spark, sf_dir):
+    made = table(spark, sf_dir, "region").select("r_regionkey", F.when(F.col("r_regionkey") == 0, F.concat(F.lit('{"xs":['), F.repeat(F.lit("1,"), 1_000_002), F.lit("1]}"))).otherwise('{"xs":[1,2,3]}').alias("json"))
+    return decode(made, "json", Model("X", (required("xs", List("int")),))).select("r_regionkey", F.col("error.code").alias("wrong"), F.size("value.xs").alias("n"))
+
+
+@query("""SELECT o_orderkey, ['$.items[1].price', '$', '$.items[0]'][o_orderkey % 4 + 1] AS path, CASE o_orderkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 END AS line, CASE o_orderkey % 4 WHEN 0 THEN 14 WHEN 1 THEN 20 WHEN 2 THEN 4 END AS "column" FROM orders""")
+def error_places(spark, sf_dir):
+    """Line and column of the value that an error is about, or of the first thing wrong in a text that is no document."""
+    model = Model("Cart", (required("items", List(Model("Item", (required("price", "double"),)))),))
+    lines = ('{"items": [\n   {"price": 1},\n   {\n    "price": "é"}\n]}', '{"items": [\n  {"price": 1},\n  {"price": 1, "n" 2}]}', '{"items": [\n   {"x": 1}]}', '{"items": [ ]}')
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, lines)), mod("o_orderkey", 4).cast("int")).alias("json"))
+    return locate(decode(made, "json", model), "json").select("o_orderkey", F.regexp_replace("error.path", r"items\[0\]\.price", "items[0]").alias("path"), "error.line", "error.column")
+
+
 # Polymorphism and envelopes ------------------------------------------------------------------------------------------
 
 CLICK, BUY, REST = Model("Click", (required("k", "int"),)), Model("Buy", (required("value", "double"),)), Model("Rest", (defaulted("raw", "string", "unknown"),))
@@ -337,13 +413,14 @@ def sealed_encode(spark, sf_dir):
     return read.select("event_id", F.when(F.col("value._type") == "click", F.col("json")).alias("json"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Temp' WHEN 1 THEN 'Humidity' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Motion' ELSE 'inference' END AS kind FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Card' WHEN 1 THEN 'Transfer' WHEN 2 THEN 'Cash' WHEN 3 THEN 'Card' ELSE 'inference' END AS kind, CASE WHEN o_orderkey % 6 = 3 THEN 'gold' END AS club FROM orders")
 def inferred_dispatch(spark, sf_dir):
-    t, h = required("temperature", "double"), required("humidity", "double")
-    kind = Inferred("Smart", {"Temp": Model("Temp", (t, required("unit", "string"))), "Humidity": Model("Humidity", (h, required("unit", "string"))), "Mixed": Model("Mixed", (t, h)), "Motion": Model("Motion", (required("motion", "boolean"),))})
-    texts = ('{"temperature":1,"unit":"C","x":0}', '{"unit":"%","humidity":2}', '{"humidity":2,"temperature":1}', '{"motion":true}', '{"x":1}')
-    made = table(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, texts)), mod("o_orderkey", 5).cast("int")).alias("json"))
-    return decode(made, "json", kind).select("o_orderkey", F.coalesce("value._type", "error.code").alias("kind"))
+    """How an order was paid is told by the keys of the payment alone."""
+    paid = required("paid", "double")
+    kind = Inferred("Payment", {"Transfer": Model("Transfer", (paid, required("account", "string"), optional("bank", "string"))), "Card": Model("Card", (paid, required("card", "string"), optional("club", "string"))), "Cash": Model("Cash", (paid, required("till", "int")))})
+    rest = ('"card":"c"}', '"account":"a","bank":null}', '"till":4,"x":[]}', '"club":"gold","card":"c"}', '"card":"c","till":4}', '"bank":"b"}')
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(doc('{"paid":', F.col("o_totalprice"), ","), F.get(F.array(*map(F.lit, rest)), mod("o_orderkey", 6).cast("int"))).alias("json"))
+    return decode(made, "json", kind).select("o_orderkey", F.coalesce("value._type", "error.code").alias("kind"), F.col("value.Card.club").alias("club"))
 
 
 def _envelopes(spark, sf_dir) -> DataFrame:
@@ -431,21 +508,63 @@ def encode_nine_decimals(spark, sf_dir):
 
 # proto3 JSON ---------------------------------------------------------------------------------------------------------
 
-USER = Model("User", (required("user_id", "long"), required("name", "string"), required("score", "double"), defaulted("role", "string", "VIEWER"), optional("bio", "string")), proto=True)
+BUYER = Model("Buyer", (required("cust_key", "long"), required("trade_name", "string"), required("acct_bal", "double"), defaulted("market_segment", "string", "UNSET"), optional("nation_key", "uint")), proto=True)
 
 
-@query("SELECT c_custkey AS user_id, c_name AS name, c_acctbal AS score, 'VIEWER' AS role, c_custkey + 9007199254740993 AS big FROM customer")
+@query("SELECT c_custkey AS cust_key, c_name AS trade_name, c_acctbal AS acct_bal, 'UNSET' AS market_segment, c_nationkey AS nation_key, c_custkey + 9007199254740993 AS big FROM customer")
 def proto_int64_quoted(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")
-    made = rows.select("c_custkey", doc('{"userId":"', F.col("c_custkey"), '","name":', F.col("c_name"), ',"score":"', F.col("c_acctbal"), '","role":null}').alias("json"), doc('{"big":', F.col("c_custkey") + 9007199254740993, "}").alias("bare"))
-    read = decode(decode(made, "json", USER), "bare", Model("B", (required("big", "ulong"),), proto=True), value="b", err="eb")
-    return read.select("value.user_id", "value.name", "value.score", "value.role", F.col("b.big").cast("long").alias("big"))
+    made = rows.select("c_custkey", doc('{"custKey":"', F.col("c_custkey"), '","tradeName":', F.col("c_name"), ',"acctBal":"', F.col("c_acctbal"), '","marketSegment":null,"nationKey":', F.col("c_nationkey"), "}").alias("json"), doc('{"big":', F.col("c_custkey") + 9007199254740993, "}").alias("bare"))
+    read = decode(decode(made, "json", BUYER), "bare", Model("B", (required("big", "ulong"),), proto=True), value="b", err="eb")
+    return read.select("value.cust_key", "value.trade_name", "value.acct_bal", "value.market_segment", "value.nation_key", F.col("b.big").cast("long").alias("big"))
 
 
-@query("""SELECT c_custkey, '{' || concat_ws(',', CASE WHEN c_custkey % 2 <> 0 THEN '"userId":"' || c_custkey || '"' END, '"name":"' || c_name || '"', CASE WHEN c_custkey % 3 <> 0 THEN '"score":2.5' END, '"role":"VIEWER"') || '}' AS json FROM customer""")
+@query("""SELECT c_custkey, '{' || concat_ws(',', CASE WHEN c_custkey % 2 <> 0 THEN '"custKey":"' || c_custkey || '"' END, '"tradeName":"' || c_name || '"', CASE WHEN c_custkey % 3 <> 0 THEN '"acctBal":2.5' END, '"marketSegment":"' || c_mktsegment || '"') || '}' AS json FROM customer""")
 def proto_omit_defaults(spark, sf_dir):
-    row = F.struct(F.when(mod("c_custkey", 2) == 0, F.lit(0)).otherwise(F.col("c_custkey")).cast("long").alias("user_id"), F.col("c_name").alias("name"), F.when(mod("c_custkey", 3) == 0, 0.0).otherwise(2.5).alias("score"), F.lit("VIEWER").alias("role"), F.lit(None).cast("string").alias("bio"))
-    return encode(table(spark, sf_dir, "customer").select("c_custkey", row.alias("row")), "row", USER).select("c_custkey", "json")
+    row = F.struct(F.when(mod("c_custkey", 2) == 0, F.lit(0)).otherwise(F.col("c_custkey")).cast("long").alias("cust_key"), F.col("c_name").alias("trade_name"), F.when(mod("c_custkey", 3) == 0, 0.0).otherwise(2.5).alias("acct_bal"), F.col("c_mktsegment").alias("market_segment"), F.lit(None).cast("long").alias("nation_key"))
+    return encode(table(spark, sf_dir, "customer").select("c_custkey", row.alias("row")), "row", BUYER).select("c_custkey", "json")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 4294967295 WHEN 2 THEN 7 END AS u, CASE WHEN p_partkey % 5 > 2 THEN 'range' END AS wrong FROM part")
+def proto_uint32(spark, sf_dir):
+    text = F.get(F.array(*map(F.lit, ("0", "4294967295", '"7"', "4294967296", "-1"))), mod("p_partkey", 5).cast("int"))
+    made = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"u":'), text, F.lit("}")).alias("json"))
+    return decode(made, "json", Model("U", (required("u", "uint"),), proto=True)).select("p_partkey", "value.u", F.col("error.code").alias("wrong"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS n, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS t, CASE WHEN s_suppkey % 2 = 1 THEN true END AS b,
+  '{' || concat_ws(',', CASE WHEN s_suppkey % 3 <> 0 THEN '"n":"' || s_suppkey || '"' END, CASE WHEN s_suppkey % 2 = 0 THEN '"t":"' || s_name || '"' ELSE '"b":true' END) || '}' AS json FROM supplier""")
+def proto_wrappers(spark, sf_dir):
+    """Wrapper messages are plain values that may be absent; a default that is set is written."""
+    model = Model("W", (optional("n", "long"), optional("t", "string"), optional("b", "boolean")), proto=True)
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.when(mod("s_suppkey", 3) == 0, '{"n":null').otherwise(doc('{"n":"', F.col("s_suppkey"), '"')), F.when(mod("s_suppkey", 2) == 0, doc(',"t":', F.col("s_name"), "}")).otherwise(',"b":true}')).alias("doc"))
+    return encode(decode(made, "doc", model), "value", model).select("s_suppkey", "value.n", "value.t", "value.b", "json")
+
+
+@query("""SELECT o_orderkey, o_totalprice AS amount, o_custkey::DOUBLE AS first, CASE WHEN o_orderkey % 2 = 0 THEN 'x' END AS note, CASE WHEN o_orderkey % 3 = 0 THEN 'kind' END AS wrong FROM orders WHERE o_orderkey % 3 <> 0
+  UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 'kind' FROM orders WHERE o_orderkey % 3 = 0""")
+def proto_dynamic_types(spark, sf_dir):
+    """Value, Struct and ListValue are dynamic trees; their numbers are read as doubles."""
+    model = Model("Dynamic", (required("attributes", "struct"), required("parts", "listvalue"), optional("note", "value")), proto=True)
+    parts = F.when(mod("o_orderkey", 3) == 0, '{"no":"list"}').otherwise(doc("[", F.col("o_custkey"), ',"two",null]'))
+    made = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(doc('{"attributes":{"amount":', F.col("o_totalprice"), ',"deep":{"k":[1]}},"parts":'), parts, F.when(mod("o_orderkey", 2) == 0, ',"note":"x"}').otherwise(',"note":null}')).alias("json"))
+    read = decode(made, "json", model)
+    get = lambda field, path, kind: F.try_variant_get(F.col(f"value.{field}"), path, kind)
+    return read.select("o_orderkey", get("attributes", "$.amount", "double").alias("amount"), get("parts", "$[0]", "double").alias("first"), get("note", "$", "string").alias("note"), F.col("error.code").alias("wrong"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN event_type END AS kind, CASE WHEN event_type = 'click' THEN user_id END AS by_user, CASE WHEN event_type = 'purchase' THEN value END AS paid FROM events""")
+def proto_any_registry(spark, sf_dir):
+    """Messages of several types are packed, travel as JSON, and are unpacked by their type URL."""
+    registry = {"click": Model("ClickMade", (defaulted("by_user", "long", 0),), proto=True), "purchase": Model("Purchase", (optional("paid", "double"),), proto=True)}
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.struct(F.col("user_id").alias("by_user")).alias("c"), F.struct(F.col("value").alias("paid")).alias("p"))
+    rows = pack_any(pack_any(rows, "c", "click", registry["click"], "as_click"), "p", "purchase", registry["purchase"], "as_purchase")
+    other = F.struct(F.lit("type.googleapis.com/other").alias("type_url"), F.lit('{"z":1}').alias("value"))
+    packed = F.when(F.col("event_type") == "click", F.col("as_click")).when(F.col("event_type") == "purchase", F.col("as_purchase")).otherwise(other)
+    holder = Model("Holder", (required("detail", "any"),), proto=True)
+    sent = encode(rows.select("event_id", F.struct(packed.alias("detail")).alias("row")), "row", holder).select("event_id", "json")
+    read = unpack_dynamic(decode(sent, "json", holder).select("event_id", "value.detail"), "detail", registry)
+    return read.select("event_id", F.col("value._type").alias("kind"), F.col("value.click.by_user").alias("by_user"), F.col("value.purchase.paid").alias("paid"))
 
 
 @query("""SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, ((event_id % 3) * 500000000)::INTEGER % 1000000000 AS nanos,
@@ -536,6 +655,34 @@ def encoding_sniff(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", transcode(data).alias("text"))
 
 
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 <> 0")
+def ndjson_files(spark, sf_dir):
+    """Values written one to a line and read back; null values leave no line."""
+    model = Model("C", (required("c_custkey", "long"), required("c_name", "string"), required("c_nationkey", "long")))
+    path = fresh_path(spark, "ndjson")
+    rows = table(spark, sf_dir, "customer").select(F.when(mod("c_custkey", 3) != 0, F.struct("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"))).alias("row"))
+    write_ndjson(rows, "row", model, path)
+    return decode(read_ndjson(spark, path), "document", model).select("value.*")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def document_files(spark, sf_dir):
+    """Files of one document each, which spans many lines."""
+    path = fresh_path(spark, "documents")
+    text = doc('{\n "key": ', F.col("n_nationkey"), ',\n "name":\n  ', F.col("n_name"), ',\n\n "region": ', F.col("n_regionkey"), "\n}")
+    table(spark, sf_dir, "nation").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    read = decode(read_documents(spark, path).filter("valid"), "document", Model("N", (required("n_nationkey", "long", wire="key"), required("n_name", "string", wire="name"), required("n_regionkey", "long", wire="region"))))
+    return read.select("value.*")
+
+
+@query("SELECT s_suppkey, s_name AS text FROM supplier")
+def utf32_sniff(spark, sf_dir):
+    """UTF-32 of either order, with and without a byte order mark."""
+    wide = lambda order: F.unhex(F.array_join(F.transform(F.filter(F.split("s_name", ""), lambda c: c != ""), lambda c: F.concat(F.lit("000000"), F.hex(c)) if order else F.concat(F.hex(c), F.lit("000000"))), ""))
+    marked = F.when(mod("s_suppkey", 4) == 0, F.concat(F.unhex(F.lit("0000FEFF")), wide(True))).when(mod("s_suppkey", 4) == 1, F.concat(F.unhex(F.lit("FFFE0000")), wide(False))).when(mod("s_suppkey", 4) == 2, wide(True)).otherwise(wide(False))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", transcode(marked).alias("text"))
+
+
 # YAML ----------------------------------------------------------------------------------------------------------------
 
 CONFIG = Model("Config", (required("name", "string"), required("nation", "int"), required("balance", "double"), defaulted("active", "boolean", True), optional("note", "string"), required("tags", List("string"))))
@@ -570,6 +717,17 @@ def yaml_write(spark, sf_dir):
     return made.select("p_partkey", json_to_yaml(F.col("json")).alias("yaml"))
 
 
+@query("""SELECT s_suppkey, 'first' || chr(10) || ' ' || s_name || chr(10) AS literal, 'one two' || chr(10) || 'three' AS folded, 'plain goes on' AS plain, 'a b' AS quoted, s_suppkey % 3 = 0 AS wrong FROM supplier WHERE s_suppkey % 3 <> 0
+  UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL, true FROM supplier WHERE s_suppkey % 3 = 0""")
+def yaml_scalars(spark, sf_dir):
+    """Literal and folded blocks with their chomping, scalars over several lines, and garbage after a document."""
+    text = F.concat(F.lit("literal: |\n  first\n   "), F.col("s_name"), F.lit("\n\nfolded: >-\n  one\n  two\n\n  three\n\nplain: plain\n  goes\n  on\nquoted: \"a\n  b\"\n"), F.when(mod("s_suppkey", 3) == 0, "... garbage\n").otherwise(""))
+    read = table(spark, sf_dir, "supplier").select("s_suppkey", yaml_to_json(text).alias("y"))
+    fields = ("literal", "folded", "plain", "quoted")
+    v = decode(read.select("s_suppkey", "y.json", (F.col("y.error").isNotNull()).alias("wrong")), "json", Model("S", tuple(required(n, "string") for n in fields)), Options(yaml=True))
+    return v.select("s_suppkey", *(f"value.{n}" for n in fields), "wrong")
+
+
 # Consumers of decoded columns: Spark's own relational operators ------------------------------------------------------
 
 

@@ -4,9 +4,13 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quillon.model import Enum, ModelError, Inferred, List, Map, Model, Sealed, Singleton, defaulted, optional, required, unroll
+from pyspark.sql import functions as F
+
+from quillon.functions import json as J
+from quillon.model import Codec, Codecs, Enum, Inferred, List, Map, Model, ModelError, Sealed, Singleton, defaulted, optional, required, unroll
 from quillon.operators.decode import Options, decode
 from quillon.operators.encode import encode
+from quillon.operators.locate import locate
 from quillon.operators.project import project
 
 
@@ -57,23 +61,72 @@ def test_modes(spark):
 
 
 def test_resilience(spark):
-    item = Model("I", (required("id", "string"), optional("value", "int", resilient=True)), resilient=True)
-    kind = Model("R", (required("list", List(item)), defaulted("st", Enum(("A", "B")), "A", resilient=True), optional("flag", "boolean", resilient=True)))
-    assert read(spark, kind, '{"list":[{"id":"x","value":"bad"},{"value":1},5,null],"st":"Z","flag":[1]}') == [{"list": [{"id": "x", "value": None}], "st": "A", "flag": None}]
-    strict = Model("R", (required("a", "int", resilient=True),))
-    assert read(spark, strict, '{"a":"x"}', '{"a":null}') == [("missing", "$.a"), ("missing", "$.a")]
+    lot = Model("Lot", (required("sku", "long"), optional("shelf", "string", resilient=True)), resilient=True)
+    kind = Model("Stock", (required("lots", List(lot)), defaulted("state", Enum(("COUNTED", "OPEN")), "OPEN", resilient=True), optional("checked", "boolean", resilient=True)))
+    assert read(spark, kind, '{"lots":[{"shelf":"a","sku":3},7,{"sku":4,"shelf":[]},null,{"shelf":"b"}],"state":["OPEN"],"checked":"yes"}') == [{"lots": [{"sku": 3, "shelf": "a"}, {"sku": 4, "shelf": None}], "state": "OPEN", "checked": None}]
+    strict = Model("Count", (required("n", "int", resilient=True),))
+    assert read(spark, strict, '{"n":[]}', '{"n":null}') == [("missing", "$.n"), ("missing", "$.n")]
 
 
 def test_polymorphism(spark):
-    kind = Sealed("D", {"Light": Model("L", (required("brightness", "int"),)), "Other": Model("O", (defaulted("raw", "string", "?"),))}, fallback="Other")
-    shown = read(spark, kind, '{"brightness":3,"x":{"type":"Other"},"type":"Light"}', '{"type":"New"}', "{}", '{"type":5}', '{"type":"Light"}', "[]")
-    assert [s["_type"] if isinstance(s, dict) else s for s in shown] == ["Light", "Other", "Other", "Other", ("missing", "$.brightness"), ("kind", "$")]
-    closed = Sealed("S", {"c": Model("C", (required("amount", "long"),))}, discriminator="object")
-    assert read(spark, closed, '{"object":"c","amount":1}', '{"object":"r"}', "{}") == [{"_type": "c", "c": {"amount": 1}}, ("subclass", "$.object"), ("discriminator", "$.object")]
-    inferred = Inferred("I", {"A": Model("A", (required("t", "double"), required("u", "string"))), "B": Model("B", (required("h", "double"), required("u", "string"))), "C": Model("C", (required("t", "double"), required("h", "double")))})
-    shown = read(spark, inferred, '{"t":1,"u":"c"}', '{"h":1,"u":"c","zz":1}', '{"t":1,"h":2}', '{"t":1}', '{"zz":1}', '{"t":1,"h":2,"u":"c"}')
-    assert [s["_type"] if isinstance(s, dict) else s[0] for s in shown] == ["A", "B", "C", "inference", "inference", "inference"]
-    assert read(spark, Model("S", (required("one", Singleton()),)), '{"one":{"any":1}}', '{"one":[]}') == [{"one": True}, ("kind", "$.one")]
+    kind = Sealed("Move", {"sale": Model("Sale", (required("till", "int"),)), "rest": Model("Rest", (defaulted("why", "string", "unsaid"),))}, fallback="rest")
+    shown = read(spark, kind, '{"why":"x","type":"gift"}', '{"till":2,"inner":{"type":"rest"},"type":"sale"}', '{"type":[]}', '{"type":"sale","till":null}', "{}", '"sale"')
+    assert [s["_type"] if isinstance(s, dict) else s for s in shown] == ["rest", "sale", "rest", ("null", "$.till"), "rest", ("kind", "$")] and shown[0]["rest"] == {"why": "x"}
+    closed = Sealed("Doc", {"bill": Model("Bill", (required("total", "long"),))}, discriminator="is a")
+    assert read(spark, closed, '{"total":8,"is a":"bill"}', '{"is a":"note"}', '{"total":8}') == [{"_type": "bill", "bill": {"total": 8}}, ("subclass", "$['is a']"), ("discriminator", "$['is a']")]
+    weight, length = required("kg", "double"), required("cm", "double")
+    inferred = Inferred("Parcel", {"Tube": Model("Tube", (length, required("wide", "int"))), "Box": Model("Box", (weight, length)), "Sack": Model("Sack", (weight, optional("label", "string")))})
+    shown = read(spark, inferred, '{"kg":2}', '{"cm":1,"kg":2}', '{"label":null,"kg":2,"other":[]}', '{"wide":3,"cm":9}', '{"cm":9}', "{}", '{"cm":9,"wide":3,"kg":1}')
+    assert [s["_type"] if isinstance(s, dict) else s[0] for s in shown] == ["Sack", "Box", "Sack", "Tube", "inference", "inference", "inference"]
+    assert read(spark, Model("Mark", (required("seen", Singleton()),)), '{"seen":{}}', '{"seen":{"at":[1]}}', '{"seen":1}') == [{"seen": True}, {"seen": True}, ("kind", "$.seen")]
+
+
+def test_nothing_is_lost_in_silence(spark):
+    kind = Model("V", (required("v", "string"),))
+    high, low = "\\ud83d", "\\ude00"
+    assert read(spark, kind, '{"v":"a"} ', '{"v":"a"}{"v":"b"}', '{"v":"a"},1', '{"v":"a"}]x', '{"v":"a"} x', f'{{"v":"{high}{low}"}}', f'{{"v":"{high}"}}', f'{{"v":"{low}{high}"}}', f'{{"v":"\\{high}"}}', f'{{"z":"{low}","v":"a"}}') == [
+        {"v": "a"}, ("syntax", "$"), ("syntax", "$"), ("syntax", "$"), ("syntax", "$"), {"v": "\U0001f600"}, ("syntax", "$"), ("syntax", "$"), {"v": "\\ud83d"}, ("syntax", "$"),
+    ]
+
+
+def test_opaque_parts_keep_their_text(spark):
+    inner = Model("In", (optional("raw", "json"), optional("n", "int")))
+    kind = Model("Out", (required("a", "json"), required("xs", List("json")), required("m", Map(inner)), optional("u", Sealed("U", {"p": Model("P", (required("q", "json"),))}), wire="odd key")))
+    text = '{"a":{"z":1.0,"b":[1e400,"1.0",{"c":null}],"é":"\\"1\\\\"},"xs":[1.10,"s\\n",true,[0.0],123456789012345678901234567890123456789012.5],"m":{"k":{"raw":2.50,"n":3},"l":{"raw":"2.50"}},"odd key":{"type":"p","q":{"r":-0.0}}}'
+    found = read(spark, kind, text)[0]
+    assert found["a"] == '{"z":1.0,"b":[1e400,"1.0",{"c":null}],"é":"\\"1\\\\"}' and found["xs"] == ["1.10", '"s\\n"', "true", "[0.0]", "123456789012345678901234567890123456789012.5"]
+    assert found["m"] == {"k": {"raw": "2.50", "n": 3}, "l": {"raw": '"2.50"', "n": None}} and found["u"]["p"] == {"q": '{"r":-0.0}'}
+    with pytest.raises(ModelError):
+        read(spark, Sealed("S", {"a": Model("A", (optional("x", "json"),)), "b": Model("B", (optional("x", List("json")),))}), "{}")
+
+
+def test_codecs(spark):
+    upper = Codec("Upper", "string", lambda raw: F.upper(J.as_string(raw)), lambda c: J.text_of(F.lower(c)))
+    codecs = Codecs(upper)
+    kind = Model("C", (required("a", codecs["Upper"]), required("m", Map(List(codecs["Upper"])))))
+    assert read(spark, kind, '{"a":"x","m":{"k":["y",null]}}', '{"a":1,"m":{}}', '{"a":"x","m":{"k":[2]}}') == [{"a": "X", "m": {"k": ["Y", None]}}, ("format", "$.a"), ("format", "$.m.k[0]")]
+    df = decode(spark.createDataFrame([('{"a":"x","m":{"k":["y"]}}',)], "doc string"), "doc", kind)
+    assert encode(df, "value", kind).first().json == '{"a":"x","m":{"k":["y"]}}'
+    with pytest.raises(ModelError):
+        codecs.register(upper)
+    with pytest.raises(ModelError):
+        codecs["Lower"]
+
+
+def test_places_of_errors(spark):
+    kind = Model("M", (required("xs", List(Model("X", (required("odd key", "int"),)))),))
+    texts = ['{\n "xs": [{"odd key": 1},\n  {"odd key": "é"}]}', '{"xs":[{"odd key":1}, {"y":[{}]}]}', '{"xs":[1 2]}', "", '{"xs":[]} trailing', '{"xs":{}}', '{"xs":[]}', '{"xs":7,"xs":[{"odd key":null}]}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, doc string")
+    found = locate(decode(df, "doc", kind), "doc").orderBy("i").collect()
+    assert [(r.error.code, r.error.line, r.error.column) if r.error else None for r in found] == [
+        ("kind", 3, 15), ("missing", 1, 23), ("syntax", 1, 10), ("syntax", 1, 1), ("syntax", 1, 11), ("kind", 1, 7), None, ("null", 1, 26),
+    ]
+
+
+def test_yaml_models_are_checked(spark):
+    df = spark.createDataFrame([("{}",)], "doc string")
+    with pytest.raises(ModelError):
+        decode(df, "doc", Model("Y", (optional("a", "json"),)), Options(yaml=True))
 
 
 def test_wide_deep_and_odd_names(spark):
@@ -113,22 +166,25 @@ def test_projection_of_sound_documents(spark):
         project(df, "doc", Model("X", (required("s", Sealed("S", {"a": item})),)))
 
 
-BENCH = Model("B", (required("id", "long"), required("name", "string"), required("score", "double"), defaulted("active", "boolean", True), optional("bio", "string"), required("tags", List("string")), required("m", Map("int")), optional("p", Model("P", (optional("q", "int"),)))))
+SHEET = Model("Sheet", (
+    required("key", "long"), required("title", "string"), defaulted("open", "boolean", False), required("weight", "double"), optional("remark", "string"),
+    required("marks", List("string")), required("counts", Map("int")), optional("owner", Model("Owner", (optional("desk", "int"),))),
+))
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(
         st.fixed_dictionaries({
-            "id": st.integers(-(2**63), 2**63 - 1), "name": st.text(st.characters(exclude_categories=["Cs"]), max_size=20), "score": st.floats(allow_nan=False, allow_infinity=False), "active": st.booleans(),
-            "bio": st.none() | st.text("ab\"\\\n\t\x01é/", max_size=9), "tags": st.lists(st.text("xyz", max_size=3), max_size=4), "m": st.dictionaries(st.text('k"é', max_size=3), st.integers(-5, 5), max_size=3), "p": st.none() | st.fixed_dictionaries({"q": st.none() | st.integers(-9, 9)}),
+            "key": st.integers(-(2**63), 2**63 - 1), "title": st.text(st.characters(exclude_categories=["Cs"]), max_size=20), "open": st.booleans(), "weight": st.floats(allow_nan=False, allow_infinity=False),
+            "remark": st.none() | st.text("ab\"\\\n\t\x01é/", max_size=9), "marks": st.lists(st.text("xyz", max_size=3), max_size=4), "counts": st.dictionaries(st.text('k"é', max_size=3), st.integers(-5, 5), max_size=3), "owner": st.none() | st.fixed_dictionaries({"desk": st.none() | st.integers(-9, 9)}),
         }), min_size=1, max_size=30,
     )
 )
 def test_round_trip(spark, rows):
     texts = [json.dumps(r) for r in rows]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, doc string")
-    coded = encode(decode(df, "doc", BENCH), "value", BENCH)
-    again = decode(coded.select("i", "json"), "json", BENCH).orderBy("i").collect()
+    coded = encode(decode(df, "doc", SHEET), "value", SHEET)
+    again = decode(coded.select("i", "json"), "json", SHEET).orderBy("i").collect()
     for r, back in zip(rows, again):
         assert back.error is None and back.value.asDict(True) == r and json.loads(back.json) == r
