@@ -6,9 +6,11 @@ For each record it makes up the WARC equivalents: a record id (a name-based UUID
 the archive date, a record type (response for http and https, resource for other schemes, warcinfo for the version
 block), and SHA-1 digests in base 32.
 
-``pages_to_arc`` puts pages into ARC archives, ``arc_to_records`` converts, ``write_archives`` writes WARC files of
-bounded size into a shared folder, ``read_archives`` reads them back. Files are written by Spark's own writer, with its
-commit protocol: a lost executor leaves no half archive, and any file system that Spark knows will do.
+``pages_to_arc`` puts pages into ARC archives, ``arc_to_records`` converts, ``revisits`` finds records with equal
+payloads, ``write_archives`` writes a WARC file for each ARC archive into a shared folder, ``read_archives`` reads them
+back and resolves revisits by the record ids that they refer to. Only ids, sizes and digests are joined; payloads stay
+in their archives. Files are written by Spark's own writer, with its commit protocol: a lost executor leaves no half
+archive, and any file system that Spark knows will do.
 """
 
 from __future__ import annotations
@@ -17,15 +19,19 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from base64 import b16encode, b32decode, b32encode
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import Scratch, bounded_batches, materialize
+
 #: Fixed values of the formats.
 VERSION_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -52,8 +58,9 @@ class ArcRecord:
 
 
 def _field(value: str | None) -> str:
-    """A header field holds no white space: such characters are percent-encoded; nothing at all becomes ``-``."""
-    return re.sub(r"[\s%\x00-\x1f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value) if value else "-"
+    """A header field holds no white space or control characters: these are percent-encoded, and nothing else is changed.
+    Nothing at all becomes ``-``."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value) if value else "-"
 
 
 def write_arc(records: list[ArcRecord], version: int, name: str, date: str) -> bytes:
@@ -159,112 +166,121 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 ARCHIVE = "name string, content binary"
-RECORD = "page_id long, type string, url string, date string, ip string, mime string, http binary, payload binary, payload_bytes long, payload_digest string"
+RECORD = "archive string, place long, record_id string, page_id long, type string, url string, date string, ip string, mime string, http binary, payload binary, payload_bytes long, payload_digest string"
 
 
 def pages_to_arc(pages: DataFrame, date: str = "20040101120000") -> DataFrame:
     """ARC archives (``name``, ``content``) of about ARCHIVE_BYTES with a record for each page, versions 1 and 2 in turn.
 
     The HTTP header carries the page's id. A null html is an empty payload, a null url is ``-``, a null id is left out.
+    No two archives have one name.
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            name = f"legacy-{part:06d}-{n:06d}.arc"
+            return pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([write_arc(held, 1 + n % 2, name, date)], pa.binary())})
+
         for batch in batches:
             ids, urls, texts = batch.columns
-            held, size = [], 0
             for i in range(batch.num_rows):
                 payload = (texts[i].as_py() or "").encode()
                 page = ids[i].as_py()
                 http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n" + (f"X-Page-Id: {page}\r\n" if page is not None else "") + f"Content-Length: {len(payload)}\r\n\r\n"
                 held.append(ArcRecord(urls[i].as_py() or "", "0.0.0.0", date, "text/html", http.encode() + payload, 1))
                 size += len(payload)
-                if size >= ARCHIVE_BYTES or i == batch.num_rows - 1:
-                    n += 1
-                    name = f"legacy-{n:06d}.arc"
-                    content = write_arc(held, 1 + n % 2, name, date)
-                    yield pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([content], pa.binary())})
-                    held, size = [], 0
+                if size >= ARCHIVE_BYTES:
+                    yield flush()
+                    n, held, size = n + 1, [], 0
+        if held:
+            yield flush()
+
+    return bounded_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(put, ARCHIVE)
+
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(put, ARCHIVE)
+def convert(name: str, content: bytes) -> Iterator[tuple]:
+    """The WARC equivalents (columns of RECORD) of an archive's records; the version block that opens it is left out.
 
+    A record's id is made of the archive's name and its place there, so repeated pages have ids of their own."""
+    for place, r in enumerate(islice(read_arc(content), 1, None)):  # the version block is always first
+        http, payload = split_http(r.content)
+        page = _header(http, b"X-Page-Id")
+        digest = hashlib.sha1(payload).hexdigest()
+        yield name, place, record_id(name, str(place)), int(page) if page is not None else None, "response" if http else "resource", r.url, warc_date(r.date), r.ip, r.mime, http, payload, len(payload), digest
 
-def arc_to_records(archives: DataFrame) -> DataFrame:
-    """WARC equivalents of the records of ARC archives (the version block that opens each is left out): type, date, target, digest, parts."""
+
+def arc_to_records(archives: DataFrame, *columns: str) -> DataFrame:
+    """WARC equivalents of the records of ARC archives, see ``convert``: all columns, or those named."""
+    texts, numbers = {"http", "payload"}, {"place", "page_id", "payload_bytes"}
+    every = [x.split(" ")[0] for x in RECORD.split(", ")]
+    schema = pa.schema([(n, pa.binary() if n in texts else pa.int64() if n in numbers else pa.string()) for n in every if not columns or n in columns])
+    at = [every.index(n) for n in schema.names]
 
     def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), *((n, pa.string()) for n in ("type", "url", "date", "ip", "mime")), ("http", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                for r in islice(read_arc(content.as_py()), 1, None):  # the version block is always first
-                    http, payload = split_http(r.content)
-                    page = _header(http, b"X-Page-Id")
-                    kind = "response" if http else "resource"
-                    rows.append((int(page) if page is not None else None, kind, r.url, warc_date(r.date), r.ip, r.mime, http, payload, len(payload), hashlib.sha1(payload).hexdigest()))
-                for at in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 500]), schema)], schema=schema)
+            for name, content in zip(batch.column(0), batch.column(1)):
+                rows = convert(name.as_py(), content.as_py())
+                while some := [[r[i] for i in at] for r in islice(rows, 500)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
-    return archives.select("name", "content").mapInArrow(converted, RECORD)
+    kinds = dict(x.split(" ") for x in RECORD.split(", "))
+    return bounded_batches(archives).select("name", "content").mapInArrow(converted, ", ".join(f"{n} {kinds[n]}" for n in schema.names))
 
 
-def mark_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Adds ``refers_to``: of equal payloads of at least ``least`` bytes the largest page id stays, the others refer to it.
+def revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """``archive``, ``place``, ``target``: the records that refer to another with an equal payload of at least ``least``
+    bytes, and that record's id: of equal payloads the one with the largest page id stays.
 
-    Records without a page id take no part. Rows that repeat the largest page id all stay responses. Maxima are
-    pre-aggregated, so a payload shared by a third of all pages is no hot group; only groups that need it are joined.
+    Records without a page id take no part. Rows that repeat the largest page id all stay. Maxima are pre-aggregated;
+    a payload shared by a third of all pages is a skewed key of a join of short rows, which adaptive execution splits.
     """
-    whole = records.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
-    groups = whole.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("kept"), F.min("page_id").alias("low")).filter("kept <> low").drop("low")
-    joined = records.join(groups, (records["payload_digest"] == groups["d"]) & (records["payload_bytes"] >= least), "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("kept"), F.col("kept"))).drop("d", "kept")
+    whole = records.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("archive", "place", "record_id", "page_id", F.unhex("payload_digest").alias("digest"))
+    groups = whole.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("kept"), F.min("page_id").alias("low")).filter("kept.page_id <> low")
+    return whole.join(groups, "digest").filter("page_id <> kept.page_id").select("archive", "place", F.col("kept.record_id").alias("target"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Writes compressed WARC files of about ARCHIVE_BYTES of records, each with a warcinfo record, into the folder ``path``."""
+def write_archives(archives: DataFrame, repeats: DataFrame, path: str) -> None:
+    """Writes a compressed WARC file for each ARC archive into the folder ``path``, with a warcinfo record first; the
+    records that ``repeats`` names become revisits. Each record is a gzip member of its own, so it can be read alone;
+    the writer ends a file with a zero byte, which gzip takes for padding."""
+    marks = repeats.groupBy("archive").agg(F.collect_list(F.struct("place", "target")).alias("marks"))  # at most an archive's records
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = b"software: quillon\r\nformat: WARC File Format 1.1\r\n"
-        held: list[bytes] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            first = warc_record("warcinfo", info, WARC_Record_ID=record_id("info", hashlib.sha1(held[0]).hexdigest()), WARC_Date="2004-01-01T00:00:00Z", Content_Type="application/warc-fields")
-            # The writer ends each row with the two line ends that end a record.
-            return pa.RecordBatch.from_pydict({"content": pa.array([b"\r\n\r\n".join([first, *held])], pa.binary())})
+        def member(record: bytes) -> bytes:
+            squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
+            return squeeze.compress(record + b"\r\n\r\n") + squeeze.flush()
 
+        info = b"software: quillon\r\nformat: WARC File Format 1.1\r\n"
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for r in batch.slice(at, 200).to_pylist():
-                    page = r["page_id"]
-                    named = {"WARC_Date": r["date"], "WARC_Target_URI": r["url"], "WARC_IP_Address": r["ip"], "X_Page_Id": page}
-                    own = record_id("page", str(page)) if page is not None else record_id("record", r["url"], r["date"], r["payload_digest"])
-                    digest = "sha1:" + b32encode(bytes.fromhex(r["payload_digest"])).decode()
-                    kind = "application/http; msgtype=response" if r["http"] else r["mime"]
-                    if r["refers_to"] is None:
-                        made = warc_record(r["type"], r["http"] + r["payload"], WARC_Record_ID=own, **named, WARC_Payload_Digest=digest, Content_Type=kind)
+            for name, content, mark in zip(*batch.columns):
+                name, target = name.as_py(), {m["place"]: m["target"] for m in mark.as_py() or ()}
+                out = [member(warc_record("warcinfo", info, WARC_Record_ID=record_id(name), WARC_Date="2004-01-01T00:00:00Z", Content_Type="application/warc-fields"))]
+                for _, place, own, _, kind, url, date, ip, mime, http, payload, _, digest in convert(name, content.as_py()):
+                    shown = "sha1:" + b32encode(bytes.fromhex(digest)).decode()
+                    named = {"WARC_Record_ID": own, "WARC_Date": date, "WARC_Target_URI": url, "WARC_IP_Address": ip, "WARC_Payload_Digest": shown, "Content_Type": "application/http; msgtype=response" if http else mime}
+                    if place in target:
+                        out.append(member(warc_record("revisit", http, **named, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To=target[place])))
                     else:
-                        to = r["refers_to"]
-                        made = warc_record("revisit", r["http"], WARC_Record_ID=own, **named, WARC_Payload_Digest=digest, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To=record_id("page", str(to)), X_Refers_To_Page_Id=to, X_Payload_Length=r["payload_bytes"], Content_Type=kind)
-                    held.append(made)
-                    size += len(made)
-                    if size >= ARCHIVE_BYTES:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
+                        out.append(member(warc_record(kind, http + payload, **named)))
+                yield pa.RecordBatch.from_pydict({"content": pa.array([b"".join(out)], pa.binary())})
+
+    rows = archives.join(marks, archives["name"] == marks["archive"], "left").select("name", "content", "marks")
+    contents = bounded_batches(rows).mapInArrow(packed, "content binary")
+    contents.select(F.col("content").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
-    contents = records.select("page_id", "type", "url", "date", "ip", "mime", "http", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(packed, "content binary")
-    contents.select(F.col("content").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path, compression="gzip")
 
+FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, target string, record_id string, url string, date string"
 
-def read_archives(df_session, path: str) -> DataFrame:
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to``, ``record_id``, ``url``, ``date`` of the WARC
-    records in a folder. Responses' payloads are hashed anew and compared with what their records declare."""
-    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string())]
+    records in a folder. Responses' payloads are hashed anew and compared with what their records declare. What a
+    revisit refers to, and so the page and the size, is the record with that id."""
+    schema = pa.schema([(x.split(" ")[0], pa.int64() if x.endswith(" long") else pa.string()) for x in FOUND.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = lambda x: int(x) if x is not None else None
         for batch in batches:
             for content in batch.column(0):
                 rows = []
@@ -272,26 +288,33 @@ def read_archives(df_session, path: str) -> DataFrame:
                     if h["warc-type"] == "warcinfo":
                         continue
                     declared = b16encode(b32decode(h["warc-payload-digest"].removeprefix("sha1:"))).decode().lower()
-                    if h["warc-type"] == "revisit":
-                        size = int(h["x-payload-length"])
-                    else:
-                        payload = split_http(block)[1]
+                    http, payload = split_http(block)
+                    page, size = _header(http, b"X-Page-Id"), None
+                    if h["warc-type"] != "revisit":
                         size = len(payload)
                         if hashlib.sha1(payload).hexdigest() != declared:
                             raise ValueError("WARC payload digest does not hold")
-                    rows.append((whole(h.get("x-page-id")), size, declared, h["warc-type"], whole(h.get("x-refers-to-page-id")), h["warc-record-id"], h["warc-target-uri"], h["warc-date"]))
+                    rows.append((int(page) if page is not None else None, size, declared, h["warc-type"], h.get("warc-refers-to"), h["warc-record-id"], h["warc-target-uri"], h["warc-date"]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    files = df_session.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return files.select("content").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string")
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    found = materialize(bounded_batches(files).select("content").mapInArrow(read, FOUND), "warc-records")
+    alone = found.filter("target is null").withColumn("refers_to", F.lit(None).cast("long"))
+    kept = found.filter("target is null").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"))
+    again = found.filter("target is not null").join(kept, "target", "left").withColumn("payload_bytes", F.col("size"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date"]
+    return alone.select(columns).union(again.select(columns))
 
 
 def archive_pages(pages: DataFrame, path: str) -> DataFrame:
     """Pages by way of ARC archives into WARC files under ``path``, and the records read back from there.
 
     One row for each row of ``pages`` (``page_id``, ``url``, ``html``; more columns are ignored; repeated rows stay). An empty
-    table gives no rows.
+    table gives no rows. The ARC archives are kept until the WARC files are written.
     """
-    write_archives(mark_revisits(arc_to_records(pages_to_arc(pages))), path)
+    with Scratch(pages.sparkSession, "arc") as scratch:
+        archives = scratch.table(pages_to_arc(pages), "archives")
+        records = scratch.table(arc_to_records(archives, "archive", "place", "record_id", "page_id", "payload_bytes", "payload_digest"), "records")
+        write_archives(archives, revisits(records), path)
     return read_archives(pages.sparkSession, path)

@@ -75,14 +75,15 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     """``conv``, ``formatted``: one row for each conversation, its turns in order.
 
     Turns with the same number follow role and text; repeated rows are repeated turns; null turn numbers come first;
-    null roles and texts are empty; rows with a null conversation make one conversation with a null id; an empty
+    null roles and texts are empty; a row with a null conversation is a conversation of its own with a null id; an empty
     table gives no rows; other columns are ignored.
     """
     rows = df.select(
         F.col(conv).alias("conv"),
+        F.when(F.col(conv).isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"),
     )
-    gathered = rows.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("sorted"))
+    gathered = rows.groupBy("conv", "alone").agg(F.array_sort(F.collect_list("t")).alias("sorted"))
     turns = gathered.select("conv", F.transform("sorted", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     first = turns.withColumn("formatted", _render(F.col("turns"), None))
     first = first.withColumn("same", _read_back(F.col("formatted")) == F.col("turns"))

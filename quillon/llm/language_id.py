@@ -141,62 +141,74 @@ def marginals(emit: np.ndarray, mask: np.ndarray, texts: np.ndarray, step: np.nd
     return out
 
 
+class Training:
+    """The mean log likelihood of all words' labels in training sequences, and its gradients."""
+
+    def __init__(self, sequences: list[list[tuple[str, int]]], labels: list[str], lexicons: dict, penalty: float = 1e-7):
+        self.k, self.penalty = len(labels), penalty
+        index: dict[str, int] = {}
+        for s in sequences:
+            for w, _ in s:
+                index.setdefault(w, len(index))
+        self.n_words = len(index)
+        self.of_word, hashed = features_of(list(index), lexicons)
+        self.used, feature = np.unique(hashed, return_inverse=True)
+        self.feature = feature.astype(np.int32)
+        shape = (len(sequences), max(map(len, sequences)))
+        self.word, gold, self.mask = np.zeros(shape, np.int32), np.zeros(shape, np.int32), np.zeros(shape, bool)
+        for i, s in enumerate(sequences):
+            self.word[i, : len(s)], gold[i, : len(s)], self.mask[i, : len(s)] = [index[w] for w, _ in s], [y for _, y in s], True
+        self.truth = np.eye(self.k)[gold] * self.mask[:, :, None]
+        self.total = self.mask.sum()
+        self.inner = self.mask[:, 1:]
+        self.want_step = np.einsum("stk,stl->kl", self.truth[:, :-1] * self.inner[:, :, None], self.truth[:, 1:])
+        self.want_first = self.truth[:, 0].sum(axis=0)
+
+    def value(self, theta: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        scores = np.stack([np.bincount(self.of_word, theta[self.feature, j], self.n_words) for j in range(self.k)], axis=1)
+        top = scores.max(axis=1)
+        e, a, f = np.exp(scores - top[:, None])[self.word], np.exp(step - step.max()), np.exp(first - first.max())
+        p = marginals(e, self.mask, np.arange(len(self.word)), a, f) * self.mask[:, :, None]
+        # Pairs: P(y, y') at a step is proportional to ahead(y) a(y, y') emit(y') back(y'); by marginals p / lead it is:
+        ahead, lead, size = np.empty_like(e), np.ones_like(e), np.ones(self.mask.shape)
+        state = f * e[:, 0]
+        size[:, 0] = state.sum(axis=1)
+        ahead[:, 0] = state = _normal(state)
+        for t in range(1, e.shape[1]):
+            lead[:, t] = state @ a
+            put = lead[:, t] * e[:, t]
+            size[:, t] = np.where(self.mask[:, t], put.sum(axis=1), 1.0)
+            ahead[:, t] = state = np.where(self.mask[:, t, None], _normal(put), state)
+        pairs = np.einsum("stk,stl->kl", ahead[:, :-1] * self.inner[:, :, None], p[:, 1:] / np.maximum(lead[:, 1:], 1e-300)) * a
+        of_truth = (self.truth * (scores - top[:, None])[self.word]).sum() + (self.want_step * (step - step.max())).sum() + (self.want_first * (first - first.max())).sum()
+        value = (of_truth - np.log(size).sum()) / self.total - self.penalty / 2 * (theta**2).sum()
+        flat, at = (self.truth - p)[self.mask], self.word[self.mask]
+        by_word = np.stack([np.bincount(at, flat[:, j], self.n_words) for j in range(self.k)], axis=1)
+        by_feature = np.stack([np.bincount(self.feature, by_word[self.of_word, j], len(self.used)) for j in range(self.k)], axis=1)
+        return value, [by_feature / self.total - self.penalty * theta, (self.want_step - pairs) / self.total, (self.want_first - p[:, 0].sum(axis=0)) / self.total]
+
+
 def fit(sequences: list[list[tuple[str, int]]], labels: list[str], lexicons: dict, epochs: int = EPOCHS) -> Model:
     """Maximises the likelihood of the labels of all words, by gradient ascent (Adam) with a small penalty."""
-    k = len(labels)
-    index: dict[str, int] = {}
-    for s in sequences:
-        for w, _ in s:
-            index.setdefault(w, len(index))
-    n_words = len(index)
-    of_word, hashed = features_of(list(index), lexicons)
-    used, feature = np.unique(hashed, return_inverse=True)
-    feature = feature.astype(np.int32)
-    del hashed
-    length = max(map(len, sequences))
-    word, gold = np.zeros((len(sequences), length), np.int32), np.zeros((len(sequences), length), np.int32)
-    mask = np.zeros((len(sequences), length), bool)
-    for i, s in enumerate(sequences):
-        word[i, : len(s)], gold[i, : len(s)], mask[i, : len(s)] = [index[w] for w, _ in s], [y for _, y in s], True
-    truth = np.eye(k)[gold] * mask[:, :, None]
-    total = mask.sum()
-    inner = mask[:, 1:]
-    want_step = np.einsum("stk,stl->kl", truth[:, :-1] * inner[:, :, None], truth[:, 1:])
-    want_first = truth[:, 0].sum(axis=0)
-    theta, step, first = np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)
+    k, training = len(labels), Training(sequences, labels, lexicons)
+    theta, step, first = np.zeros((len(training.used), k)), np.zeros((k, k)), np.zeros(k)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (theta, step, first)]
-    texts = np.arange(len(sequences))
     for epoch in range(1, epochs + 1):
-        scores = np.stack([np.bincount(of_word, theta[feature, j], n_words) for j in range(k)], axis=1)
-        e = np.exp(scores - scores.max(axis=1, keepdims=True))[word]
-        a = np.exp(step - step.max())
-        p = marginals(e, mask, texts, a, np.exp(first - first.max())) * mask[:, :, None]
-        # Pairs: P(y, y') at a step is proportional to ahead(y) a(y, y') emit(y') back(y'); by marginals p / (lead) it is:
-        ahead = np.empty_like(e)
-        state = _normal(np.exp(first - first.max()) * e[:, 0])
-        ahead[:, 0] = state
-        lead = np.ones_like(e)
-        for t in range(1, length):
-            lead[:, t] = state @ a
-            state = np.where(mask[:, t, None], _normal(lead[:, t] * e[:, t]), state)
-            ahead[:, t] = state
-        pairs = np.einsum("stk,stl->kl", ahead[:, :-1] * inner[:, :, None], p[:, 1:] / np.maximum(lead[:, 1:], 1e-300)) * a
-        gap = truth - p
-        flat, at = gap[mask], word[mask]
-        by_word = np.stack([np.bincount(at, flat[:, j], n_words) for j in range(k)], axis=1)
-        by_feature = np.stack([np.bincount(feature, by_word[of_word, j], len(used)) for j in range(k)], axis=1)
-        gradients = [by_feature / total - 1e-7 * theta, (want_step - pairs) / total, (want_first - p[:, 0].sum(axis=0)) / total]
+        _, gradients = training.value(theta, step, first)
         for value, gradient, moment in zip((theta, step, first), gradients, moments):
             moment[0] = 0.9 * moment[0] + 0.1 * gradient
             moment[1] = 0.99 * moment[1] + 0.01 * gradient**2
             value += 0.1 * (moment[0] / (1 - 0.9**epoch)) / (np.sqrt(moment[1] / (1 - 0.99**epoch)) + 1e-9)
     weights = np.zeros((BUCKETS, k), np.float32)
-    weights[used] = theta
+    weights[training.used] = theta
     return Model(labels, weights, step, first, lexicons)
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> Model | None:
-    """A model of the languages of rows whose crc32(key as text) mod 5 is not 0; None if there is none to learn from."""
+    """A model of the languages of rows whose crc32(key as text) mod 5 is not 0; None if there is none to learn from.
+
+    The sample has about ``per_language`` texts of each language and of each a stretch of at most FRAGMENT words, at a
+    place that a hash of the key chooses, so the driver's work is bounded by these two whatever texts there are."""
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("x"), F.col(lang).cast("string").alias("y"))
     rows = rows.filter("k is not null and x is not null and y is not null").filter(remainder("k", 5) != 0)
     picked = thinned(rows, "k", "y", per_language).groupBy("k").agg(F.min(F.struct("y", "x")).alias("r"))  # an id counts once

@@ -87,7 +87,7 @@ WITH rows_ AS (
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), sized AS (
-  SELECT *, contains(text, '<|') OR contains(role, '<|') OR contains(role, chr(10)) AS esc FROM rows_
+  SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, contains(text, '<|') OR contains(role, '<|') OR contains(role, chr(10)) AS esc FROM rows_
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
@@ -96,7 +96,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(24 + CASE WHEN esc
     THEN 7 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))
     ELSE length(role) + length(text) END)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+FROM sized GROUP BY conv_id, alone
 """
 
 QUERIES = {

@@ -27,7 +27,7 @@ from .byte_bpe import compile_pattern
 from .storage import Shared, bounded_batches
 
 #: Nodes of a worker's trie; pre-tokens of more bytes than LONG get the same recurrence over a sliding window instead.
-NODES, LONG = 500_000, 48
+NODES, LONG = 500_000, 512
 
 
 def zipf_scores(ranks: dict[bytes, int], shift: float = 2.7) -> dict[bytes, float]:

@@ -36,3 +36,10 @@ def test_empty_and_plain(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes\nno")], "conv_id long, turn long, role string, text string")
     assert c.format_conversations(df).first().formatted == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes\nno<|im_end|>\n"
     assert c.summarize(c.format_conversations(df.limit(0))).count() == 0
+
+
+def test_rows_without_a_conversation_are_alone(spark):
+    rows = [(None, i % 3, "assistant", f"text {i % 5}") for i in range(200)] + [(1, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = c.summarize(c.format_conversations(df)).collect()
+    assert len(found) == 201 and {r.n_turns for r in found} == {1}

@@ -1,4 +1,7 @@
+import pickle
+
 import numpy as np
+import pytest
 
 from quillon.llm import vector_graph as v
 
@@ -40,3 +43,34 @@ def test_odd_vectors_and_few_candidates(spark):
     found = sorted(tuple(r) for r in v.nearest(df, "vec_id", "embedding", df.filter("vec_id % 20 = 0")).collect())
     assert found == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 9, -0.5), (20, 1, 40, 2.0), (40, 1, 20, 2.0)]
     assert v.nearest(df.limit(0), "vec_id", "embedding", df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lengths", ["one", "near", "far"])
+def test_recall_of_a_shard_of_production_size(lengths):
+    rng = np.random.default_rng(1)
+    n, k = v.SHARD, 20
+    data = rng.normal(size=(n, 64))
+    if lengths != "near":
+        data /= np.linalg.norm(data, axis=1, keepdims=True)
+    if lengths == "far":
+        data *= np.exp(rng.uniform(np.log(0.3), np.log(3), size=(n, 1)))
+    shard = pickle.loads(pickle.dumps(v.Shard(np.arange(n), data, k)))
+    own = np.arange(0, n, 60)
+    ids, scores = np.full((len(own), k), -1, np.int64), np.full((len(own), k), -np.inf)
+    shard.answer(own, data[own], v.BEAM, ids, scores)
+    products = data[own] @ data.T
+    products[np.arange(len(own)), own] = -np.inf
+    true = np.argsort(-products, axis=1)[:, :k]
+    assert sum(len(set(a) & set(b)) for a, b in zip(ids.tolist(), true.tolist())) / ids.size >= 0.95
+    assert np.allclose(scores, np.take_along_axis(products, ids, axis=1)) and (np.diff(scores, axis=1) <= 0).all()
+
+
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)] + [(900 + i, x[:5].tolist()) for i, x in enumerate(data[:40])], "vec_id long, embedding array<double>")
+    queries = df.filter("vec_id % 20 = 0")
+    rounded = lambda found: sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in found.collect())
+    whole = rounded(v.nearest(df, "vec_id", "embedding", queries, k=7, shard_size=100))
+    monkeypatch.setattr(v, "BLOCK_BYTES", 2000)
+    assert rounded(v.nearest(df, "vec_id", "embedding", queries, k=7, shard_size=250)) == whole and len(whole) == 7 * 32
