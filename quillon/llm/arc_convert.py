@@ -169,8 +169,14 @@ ARCHIVE = "name string, content binary"
 RECORD = "archive string, place long, record_id string, page_id long, type string, url string, date string, ip string, mime string, http binary, payload binary, payload_bytes long, payload_digest string"
 
 
+def _squeezed(data: bytes, level: int) -> bytes:
+    """A gzip member."""
+    squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return squeeze.compress(data) + squeeze.flush()
+
+
 def pages_to_arc(pages: DataFrame, date: str = "20040101120000") -> DataFrame:
-    """ARC archives (``name``, ``content``) of about ARCHIVE_BYTES with a record for each page, versions 1 and 2 in turn.
+    """Compressed ARC archives (``name``, ``content``) of about ARCHIVE_BYTES with a record for each page, versions 1 and 2 in turn.
 
     The HTTP header carries the page's id. A null html is an empty payload, a null url is ``-``, a null id is left out.
     No two archives have one name.
@@ -180,8 +186,8 @@ def pages_to_arc(pages: DataFrame, date: str = "20040101120000") -> DataFrame:
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            name = f"legacy-{part:06d}-{n:06d}.arc"
-            return pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([write_arc(held, 1 + n % 2, name, date)], pa.binary())})
+            name = f"legacy-{part:06d}-{n:06d}.arc.gz"
+            return pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([_squeezed(write_arc(held, 1 + n % 2, name, date), 1)], pa.binary())})
 
         for batch in batches:
             ids, urls, texts = batch.columns
@@ -201,10 +207,10 @@ def pages_to_arc(pages: DataFrame, date: str = "20040101120000") -> DataFrame:
 
 
 def convert(name: str, content: bytes) -> Iterator[tuple]:
-    """The WARC equivalents (columns of RECORD) of an archive's records; the version block that opens it is left out.
+    """The WARC equivalents (columns of RECORD) of a compressed archive's records; the version block that opens it is left out.
 
     A record's id is made of the archive's name and its place there, so repeated pages have ids of their own."""
-    for place, r in enumerate(islice(read_arc(content), 1, None)):  # the version block is always first
+    for place, r in enumerate(islice(read_arc(gzip.decompress(content)), 1, None)):  # the version block is always first
         http, payload = split_http(r.content)
         page = _header(http, b"X-Page-Id")
         digest = hashlib.sha1(payload).hexdigest()
@@ -249,8 +255,7 @@ def write_archives(archives: DataFrame, repeats: DataFrame, path: str) -> None:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def member(record: bytes) -> bytes:
-            squeeze = zlib.compressobj(3, zlib.DEFLATED, 31)
-            return squeeze.compress(record + b"\r\n\r\n") + squeeze.flush()
+            return _squeezed(record + b"\r\n\r\n", 3)
 
         info = b"software: quillon\r\nformat: WARC File Format 1.1\r\n"
         for batch in batches:
