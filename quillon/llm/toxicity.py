@@ -4,7 +4,8 @@ A text is toxic if one of its words is: each distinct word has an intensity, sof
 weights (the word, its beginnings and its end, which also judge words never seen), and the score of a text is
 1 - exp(-sum of intensities), so clean padding of any length does not hide a word, nor do many clean words add up to
 a toxic text once training has seen such. The loss is the usual log loss of the labels plus a penalty: in labelled
-sentences a term that names a group is swapped for another one, and the squared change of the sentence's score counts.
+sentences a term that names a group is swapped for another one, and the mean squared change of the sentences' scores
+counts for each term.
 That takes from group terms what they have only by keeping company with toxic words.
 
 Group terms are those of a fixed list and, since every corpus has its own, words that the training texts themselves
@@ -43,7 +44,7 @@ IDENTITY_TERMS = {
 
 #: Buckets of hashed features; texts of each label, and sentences with group terms, in the sample; epochs; weights of the
 #: counterfactual penalty and of the squared feature weights (the best of five on a split of the training rows).
-BUCKETS, PER_CLASS, SENTENCES, EPOCHS, PENALTY, DECAY = 1 << 19, 4000, 40_000, 120, 1.0, 1e-5
+BUCKETS, PER_CLASS, SENTENCES, EPOCHS, PENALTY, DECAY = 1 << 19, 4000, 40_000, 120, 20.0, 1e-5
 #: Terms found in the training texts: how many at most, their least length, the share of the texts of a label that hold
 #: one, and the most that the shares of the two labels differ by.
 FOUND, LEAST_LETTERS, SHARES, RATIO = 128, 4, (0.005, 0.1), 1.5
@@ -125,6 +126,7 @@ class Problem:
         self.held, self.sentence, self.n_sentences = self._flat(held)
         self.out, self.into, self.at = (np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (out, into, at))
         self.new = np.frombuffer(new, np.int8).astype(float) if len(new) else np.empty(0)
+        self.weight = 1 / np.bincount(self.out)[self.out] if len(out) else np.empty(0)  # a rare term counts as much as a frequent one
         hashed, spans = array("i"), array("i")
         for w in index:
             own = features_of(w)
@@ -158,9 +160,8 @@ class Problem:
             after = before - rate[self.out] + self.new * rate[self.into]
             clean, other = np.exp(-before), np.exp(-after)  # the chance that no word is toxic: the score's complement
             change = clean - other
-            share = self.penalty / len(self.at)
-            loss += share * (change**2).sum()
-            by_before, by_after = -2 * share * change * clean, 2 * share * change * other
+            loss += self.penalty * (self.weight * change**2).sum()
+            by_before, by_after = (2 * self.penalty * self.weight * change * x for x in (-clean, other))
             by_sentence = np.bincount(self.at, by_before + by_after, self.n_sentences)
             by_word += np.bincount(self.held, by_sentence[self.sentence], self.n_words)
             by_word += np.bincount(self.into, self.new * by_after, self.n_words) - np.bincount(self.out, by_after, self.n_words)

@@ -49,7 +49,7 @@ def test_counterfactual_penalty_frees_identity_terms():
         swaps.append((texts[-1], tox.counterfactuals(sorted(texts[-1]))))
     assert ("muslims", "christians") in [p for _, pairs in swaps for p in pairs]
     neutral = "muslims like tea and cake"
-    plain, fair = (tox.Intensities(tox.Problem(texts, np.array(labels), swaps, penalty).solve()) for penalty in (0.0, 20.0))
+    plain, fair = (tox.Intensities(tox.Problem(texts, np.array(labels), swaps, penalty).solve()) for penalty in (0.0, tox.PENALTY))
     assert plain.score(neutral) > 0.95 and fair.score(neutral) < tox.THRESHOLD < fair.score("vilebag")
 
 

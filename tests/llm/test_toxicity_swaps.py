@@ -2,8 +2,8 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import queries
 from quillon.llm import toxicity as tox
 
 #: A table with enough texts of either label for terms to show.
@@ -51,7 +51,7 @@ def test_gradient_equals_finite_differences(penalty):
 
 def test_loss_equals_brute_force():
     texts, toxic = [{"women", "vilebag"}, {"women", "tea"}, set()], np.array([1, 0, 0])
-    swaps = swaps_of("women like tea and men")
+    swaps = swaps_of("women like tea and men. men sing. men and women")
     problem = tox.Problem(texts, toxic, swaps, penalty=2.0, decay=0.1)
     rng = np.random.default_rng(1)
     weights = np.zeros(tox.BUCKETS)
@@ -59,25 +59,23 @@ def test_loss_equals_brute_force():
     weights[0] = -2.0
     chance = lambda words: tox.Intensities(weights).score(" ".join(words))
     expected = -sum(np.log(chance(t) if y else 1 - chance(t)) for t, y in zip(texts, toxic)) / 3
-    changes = [(chance(w) - chance((set(w) - {a}) | {b})) ** 2 for w, pairs in swaps for a, b in pairs]
-    expected += 2.0 * np.mean(changes) + 0.05 * (weights[problem.used] ** 2).sum()
-    assert len(changes) == 4 and abs(problem.loss(weights[problem.used], -2.0)[0] - expected) < 1e-6
+    changes = {}
+    for w, pairs in swaps:
+        for a, b in pairs:
+            changes.setdefault(a, []).append((chance(w) - chance((set(w) - {a}) | {b})) ** 2)
+    expected += 2.0 * sum(map(np.mean, changes.values())) + 0.05 * (weights[problem.used] ** 2).sum()
+    assert sum(map(len, changes.values())) > 8 and abs(problem.loss(weights[problem.used], -2.0)[0] - expected) < 1e-6
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_penalty_acts_on_the_table(spark):
+    """The table's toxic texts are made to name a group, civil ones name it seldom: a bias that only swaps take back."""
     documents, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
-    texts, swaps = tox.gather(documents, labels)
+    found, swaps = tox.gather(documents, labels)
+    assert sum(len(pairs) for _, pairs in swaps if any(a in tox.found_terms(found) for a, _ in pairs)) > 50
+    bad = labels.groupBy("doc_id").agg(F.max("toxic").alias("bad"))
+    named = documents.join(bad, "doc_id").withColumn("text", F.when(F.col("bad") == 1, F.concat("text", F.lit(". refugees came by train."))).otherwise(F.col("text")))
+    texts, swaps = tox.gather(named, labels)
     toxic = np.array([y for _, y in texts])
-    assert sum(len(pairs) for _, pairs in swaps) > 50
-    fair, plain = (tox.Problem((x for x, _ in texts), toxic, swaps, penalty).solve() for penalty in (tox.PENALTY, 0.0))
-
-    def change(weights):
-        known = tox.Intensities(weights)
-        chance = lambda words: known.score(" ".join(words))
-        return np.mean([(chance(w) - chance((set(w) - {a}) | {b})) ** 2 for w, pairs in swaps for a, b in pairs])
-
-    print(change(fair), change(plain))
-    assert change(fair) < 0.8 * change(plain)
-    scores = {r.doc_id: r.score for r in tox.score(documents, plain).collect()}
-    assert any(abs(r.score - scores[r.doc_id]) > 1e-3 for r in queries.op5_toxicity(spark, DATA).collect())
+    scores = [tox.Intensities(tox.Problem((x for x, _ in texts), toxic, swaps, penalty).solve()).score("refugees came by train") for penalty in (0.0, tox.PENALTY)]
+    assert scores[0] > 0.9 and scores[1] < tox.THRESHOLD
