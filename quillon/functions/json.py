@@ -120,15 +120,16 @@ def _mark(text: Column) -> Column:
 
 def only_value(with_rest: Column, text: Column) -> Column:
     """The text's value out of ``parsed_with_rest``; null if the text is not one JSON value."""
-    alone = (F.try_variant_get(with_rest, "$[1]", "bigint") == F.xxhash64(text)) & F.try_variant_get(with_rest, "$[2]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(with_rest, "$[0]", "variant"))
+    parts = F.try_variant_get(with_rest, "$", "array<variant>")
+    return bind(parts, lambda x: F.when((F.size(x) == 2) & (F.try_variant_get(F.get(x, F.lit(1)), "$", "bigint") == F.xxhash64(text)), F.get(x, F.lit(0))))
 
 
 def half_characters(text: Column) -> Column:
     """Whether an escape of half a character (a surrogate) stands without its other half."""
     plain = F.regexp_replace(text, r"\\\\", "  ")  # escaped backslashes
     rest = F.regexp_replace(plain, r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}", "")
-    return F.when(F.contains(text, F.lit("\\ud")) | F.contains(text, F.lit("\\uD")), rest.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")).otherwise(False)
+    some = F.contains(text, F.lit("\\")) & (F.contains(text, F.lit("\\ud")) | F.contains(text, F.lit("\\uD")))
+    return F.when(some, rest.rlike(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}")).otherwise(False)
 
 
 def marked(document: Column) -> Column:
@@ -172,7 +173,7 @@ def deeper_than(document: Column, most: int) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("top"))
     deepest = F.aggregate(steps, start, lambda s, d: F.struct((s["at"] + d).alias("at"), F.greatest(s["top"], s["at"] + d).alias("top")), lambda s: s["top"])
     openers = F.length(document) - F.length(F.translate(document, "[{", ""))
-    return F.when(openers > most, deepest > most).otherwise(F.lit(False))
+    return F.when(F.octet_length(document) <= 2 * most, F.lit(False)).when(openers > most, deepest > most).otherwise(F.lit(False))
 
 
 def any_of(conditions: list[Column]) -> Column:

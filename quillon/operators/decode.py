@@ -42,8 +42,9 @@ def _pair(value: Column, err: Column | None, kind: T.DataType) -> Column:
     return F.struct(value.cast(kind).alias("value"), (err if err is not None else F.lit(None)).cast(NONE).alias("error"))
 
 
-def _decoded(v: Column, k: Column, kind: Any, where: Column, o: Options, proto: bool, kept: Column | None = None) -> Column:
-    """struct<value, error> of a variant that is there and not JSON null. ``k``: its kind code; ``where``: its path as text."""
+def _decoded(v: Column, k: Column, kind: Any, where: Column, o: Options, proto: bool, kept: Column | None = None, p: Column | None = None) -> Column:
+    """struct<value, error> of a variant that is there and not JSON null. ``k``: its kind code; ``where``: its path as text;
+    ``p``: its plain reading, if that is at hand."""
     made = spark_type(kind)
     if isinstance(kind, Model):
         return _object(v, k, kind, where, o, kept=kept)
@@ -66,7 +67,7 @@ def _decoded(v: Column, k: Column, kind: Any, where: Column, o: Options, proto:
         return _outcome(found, F.when(found.isNull(), "format"), where, made)
     if kind in DYNAMIC:
         return _outcome(v, F.when(k != DYNAMIC[kind], "kind") if DYNAMIC[kind] else F.lit(None), where, made)
-    return _scalar(v, k, kind, where, o, proto, made)
+    return _scalar(v, k, kind, where, o, proto, made, _plain(v, kind) if p is None else p)
 
 
 def _as_written(v: Column, k: Column, kept: Column | None) -> Column:
@@ -124,9 +125,16 @@ def _code(v: Column) -> Column:
 NUMBERS = ("BI", "DE", "DO", "FL")
 
 
-def _cell(v: Column, use) -> Column:
-    """``use(variant, kind code)`` with both evaluated once."""
-    return J.bind(F.struct(v.alias("v"), _code(v).alias("k")), lambda c: use(c["v"], c["k"]))
+def _cell(v: Column, use, kind: Any = None) -> Column:
+    """``use(variant, kind code, plain reading)`` with each evaluated once; see ``_plain`` for the last."""
+    parts = lambda x: F.struct(x.alias("v"), _code(x).alias("k"), *([p.alias("p")] if (p := _plain(x, kind)) is not None else []))
+    return J.bind(v, lambda x: J.bind(parts(x), lambda c: use(c["v"], c["k"], c["p"] if _plain(x, kind) is not None else None)))
+
+
+def _plain(v: Column, kind: Any) -> Column | None:
+    """What most variants of a scalar type are read as, whatever their kind; None for other types."""
+    to = "bigint" if kind in ("byte", "short", "int", "long", "uint") else kind if kind in ("double", "boolean", "string") else None
+    return None if to is None else F.try_variant_get(v, "$", to)
 
 
 def _outcome(value: Column, code: Column, where: Column, made: T.DataType) -> Column:
@@ -139,17 +147,17 @@ def _text(v: Column, k: Column) -> Column:
     return F.when(k == "ST", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
 
 
-def _scalar(v: Column, k: Column, kind: str, where: Column, o: Options, proto: bool, made: T.DataType) -> Column:
+def _scalar(v: Column, k: Column, kind: str, where: Column, o: Options, proto: bool, made: T.DataType, p: Column | None) -> Column:
     get = lambda to: F.try_variant_get(v, "$", to)
     number = k.isin(*NUMBERS)
     if kind in ("string", "char"):
-        value = F.when(k == "ST", get("string"))
+        value = F.when(k == "ST", get("string") if p is None else p)
         if o.yaml:
             value = F.when(k.isin("ST", "BO", *NUMBERS), _text(v, k))
         wrong = F.when(value.isNull(), "kind")
         return _outcome(value, wrong.when(F.char_length(value) != 1, "char") if kind == "char" else wrong, where, made)
     if kind == "boolean":
-        value = F.when(k == "BO", get("boolean"))
+        value = F.when(k == "BO", p)
         if o.coerce_booleans:
             word = F.lower(F.when(k.isin("ST", *NUMBERS), _text(v, k)))
             value = F.coalesce(value, F.when(word.isin(*TRUE), True).when(word.isin(*FALSE), False))
@@ -161,7 +169,6 @@ def _scalar(v: Column, k: Column, kind: str, where: Column, o: Options, proto: b
         if proto:
             value = P.parse_integer(F.when(k.isin("ST", *NUMBERS), _text(v, k)), low, high)
             return _outcome(value, F.when(~k.isin("ST", *NUMBERS), "kind").when(value.isNull(), "range"), where, made)
-        d = get("double")
 
         def rest(v: Column, k: Column) -> Column:
             """By decimal arithmetic: what is not one of the quick cases, and errors."""
@@ -181,17 +188,16 @@ def _scalar(v: Column, k: Column, kind: str, where: Column, o: Options, proto: b
         slow = J.bind(F.struct(v.alias("v"), k.alias("k")), lambda c: rest(c["v"], c["k"]))  # not part of the generated code
         if kind == "ulong":
             return slow
-        plain, cut = get("bigint"), F.when(F.abs(d) < 9e15, d).cast("bigint")  # most numbers: no decimal arithmetic
-        quick = F.when((k == "BI") & plain.between(low, high), _pair(plain, None, made))
+        within = p.isNotNull() if kind == "long" else p.between(low, high)
+        quick = F.when(number & within, _pair(p, None, made))  # most numbers: no decimal arithmetic
         if o.coerce_numbers or o.yaml:
-            said = F.when(s.rlike(J.INTEGER), s.try_cast("bigint"))
-            quick = quick.when((k == "ST") & said.between(low, high), _pair(said, None, made))
-        return quick.when(k.isin("DE", "DO", "FL") & cut.between(low, high), _pair(cut, None, made)).otherwise(slow)
+            quick = quick.when((k == "ST") & s.rlike(J.INTEGER) & within, _pair(p, None, made))
+        return quick.otherwise(slow)
     if kind in ("float", "double"):
         if proto:
             value = P.parse_float(F.when(k.isin("ST", *NUMBERS), _text(v, k)))
             return _outcome(value, F.when(value.isNull(), "kind"), where, made)
-        value = F.when(number, get("double"))
+        value = F.when(number, get("double") if p is None else p)
         if o.coerce_numbers or o.yaml:
             s = get("string")
             value = F.coalesce(value, F.when((k == "ST") & s.rlike(J.NUMBER), s.try_cast("double")))
@@ -220,7 +226,15 @@ def _enum(v: Column, k: Column, kind: Enum, where: Column, proto: bool) -> Colum
 def _element(x: Column, kind: Any, where: Column, o: Options, proto: bool, nullable: bool, kept: Column | None) -> Column:
     made = spark_type(kind)
     absent = _pair(F.lit(None), None if nullable else error(where, "null"), made)
-    return _cell(x, lambda v, k: F.when(k == "VO", absent).otherwise(_decoded(v, k, kind, where, o, proto, kept)))
+    return _cell(x, lambda v, k, p: F.when(k == "VO", absent).otherwise(_decoded(v, k, kind, where, o, proto, kept, p)), kind)
+
+
+def _taken_apart(model: Model) -> str | None:
+    """The type that takes the fields' variants of all objects of an array in one go; None if some lie deeper."""
+    if model.strict or any(f.keys or len(model.path(f)) > 1 for f in model.fields if not f.ignored):
+        return None
+    names = [model.path(f)[0].replace("`", "``") for f in model.fields if not f.ignored]
+    return f"array<struct<{', '.join(f'`{n}`: variant' for n in names)}>>" if names else None
 
 
 def _drops(kind: Any) -> bool:
@@ -230,11 +244,27 @@ def _drops(kind: Any) -> bool:
 def _list(v: Column, kind: List, where: Column, o: Options, proto: bool, kept: Column | None) -> Column:
     made = spark_type(kind)
     kept = kept if _opaque(kind) is not None else None
-    items = F.try_variant_get(v, "$", "array<variant>")
     drop = _drops(kind.item)
+    taken = _taken_apart(kind.item) if drop and not o.strict else None
+    items = F.try_variant_get(v, "$", taken or "array<variant>")
+
+    def taken_apart(x: Column, i: Column) -> Column:
+        """An element of which each field's variant was taken in one go; what is no object is null."""
+        at = F.concat(where, F.lit("["), i.cast("string"), F.lit("]"))
+        inside = None if kept is None else F.get(kept, i)
+
+        def field(f: Field) -> Column:
+            if f.ignored:
+                return _field(F.lit(None), kind.item, f, at, o)
+            cell = lambda raw, k, p: _field(raw, kind.item, f, at, o, (raw, k, p), inside)
+            return _cell(x.getField(kind.item.path(f)[0]), cell, f.type if f.decoder is None else None)
+
+        each = F.struct(*(field(f).alias(f"f{n}") for n, f in enumerate(kind.item.fields)))
+        read = J.bind(each, lambda s: _gathered(x, kind.item, [s[f"f{n}"] for n in range(len(kind.item.fields))], at, o))
+        return F.when(x.isNull(), _pair(F.lit(None), None, spark_type(kind.item))).otherwise(read)
 
     def decoded(xs: Column) -> Column:
-        each = F.transform(xs, lambda x, i: _element(x, kind.item, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")), o, proto, kind.item_nullable or drop, None if kept is None else F.get(kept, i)))
+        each = F.transform(xs, taken_apart) if taken else F.transform(xs, lambda x, i: _element(x, kind.item, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")), o, proto, kind.item_nullable or drop, None if kept is None else F.get(kept, i)))
 
         def gathered(es: Column) -> Column:
             values = F.transform(es, lambda e: e["value"])
@@ -282,19 +312,19 @@ def _raw(v: Column, model: Model, f: Field) -> Column:
     return F.try_variant_get(v, J.path_of(model.path(f)), "variant")
 
 
-def _field(v: Column, model: Model, f: Field, where: Column, o: Options, cell: tuple[Column, Column] | None = None, kept: Column | None = None) -> Column:
-    """struct<value, error> of a field of the object in ``v``. ``cell``: the field's own variant and kind code."""
+def _field(v: Column, model: Model, f: Field, where: Column, o: Options, cell: tuple | None = None, kept: Column | None = None) -> Column:
+    """struct<value, error> of a field of the object in ``v``. ``cell``: the field's own variant, kind code and plain reading."""
     made = T._parse_datatype_string(f.spark_type) if f.spark_type else spark_type(f.type)
     if f.ignored:
         return _pair(_default(f, made), None, made)
     if f.keys:
         return _collected(v, f, where, o, made, kept)
     kept = _kept_at(kept, f.decoder or _opaque(f.type), model.path(f))
-    use = lambda raw, k: _present(v, raw, k, model, f, where, o, made, kept)
-    return use(*cell) if cell else _cell(_raw(v, model, f), use)
+    use = lambda raw, k, p: _present(v, raw, k, model, f, where, o, made, kept, p)
+    return use(*cell) if cell else _cell(_raw(v, model, f), use, f.type if f.decoder is None else None)
 
 
-def _present(v: Column, raw: Column, k: Column, model: Model, f: Field, where: Column, o: Options, made: T.DataType, kept: Column | None) -> Column:
+def _present(v: Column, raw: Column, k: Column, model: Model, f: Field, where: Column, o: Options, made: T.DataType, kept: Column | None, p: Column | None = None) -> Column:
     parts = model.path(f)
     here = F.concat(where, F.lit(J.shown_path(parts)[1:]))
     default = _default(f, made)
@@ -302,7 +332,7 @@ def _present(v: Column, raw: Column, k: Column, model: Model, f: Field, where: C
         found = f.decoder(_as_written(raw, k, kept)).cast(made)
         read = _outcome(found, F.when(found.isNull(), "format"), here, made)
     else:
-        read = _decoded(raw, k, f.type, here, o, model.proto, kept)
+        read = _decoded(raw, k, f.type, here, o, model.proto, kept, p)
     absent = _pair(default, None, made) if f.optional else _pair(F.lit(None), error(here, "missing"), made)
     null = _pair(F.lit(None), None, made) if f.nullable else _pair(F.lit(None), error(here, "null"), made)
     if model.proto and f.has_default:
@@ -371,7 +401,7 @@ def _sealed(v: Column, k: Column, kind: Sealed, where: Column, o: Options, kept:
     here = F.concat(where, F.lit(J.shown_path((kind.discriminator,))[1:]))
     read = lambda n: J.bind(_object(v, k, kind.options[n], where, o, (kind.discriminator,), kept), _tagged(kind.options, n, made))
 
-    def chosen(raw: Column, raw_k: Column) -> Column:
+    def chosen(raw: Column, raw_k: Column, _: Column | None) -> Column:
         name = F.when(raw_k == "ST", F.try_variant_get(raw, "$", "string"))
         if kind.fallback is not None:
             other = read(kind.fallback)
@@ -440,8 +470,10 @@ def decode(df: DataFrame, column: str, kind: Any, options: Options | None = None
     if isinstance(kind, Model):
         # Each field's variant, then its kind, then its value and error are columns of their own: each is evaluated once.
         plain = [i for i, f in enumerate(kind.fields) if not f.ignored and not f.keys]
-        docs = docs.withColumns({f"__v{i}": _raw(doc, kind, kind.fields[i]) for i in plain}).withColumns({f"__k{i}": _code(F.col(f"__v{i}")) for i in plain})
-        docs = docs.withColumns({f"__f{i}": _field(doc, kind, f, root, o, (F.col(f"__v{i}"), F.col(f"__k{i}")) if i in plain else None, kept) for i, f in enumerate(kind.fields)})
+        docs = docs.withColumns({f"__v{i}": _raw(doc, kind, kind.fields[i]) for i in plain})
+        read_as = {i: p for i in plain if kind.fields[i].decoder is None and (p := _plain(F.col(f"__v{i}"), kind.fields[i].type)) is not None}
+        docs = docs.withColumns({f"__k{i}": _code(F.col(f"__v{i}")) for i in plain} | {f"__p{i}": p for i, p in read_as.items()})
+        docs = docs.withColumns({f"__f{i}": _field(doc, kind, f, root, o, (F.col(f"__v{i}"), F.col(f"__k{i}"), F.col(f"__p{i}") if i in read_as else None) if i in plain else None, kept) for i, f in enumerate(kind.fields)})
         parts = [F.col(f"__f{i}") for i in range(len(kind.fields))]
         read = F.when(k != "OB", _pair(F.lit(None), error(root, "kind"), made)).otherwise(_gathered(doc, kind, parts, root, o))
     else:
@@ -497,7 +529,7 @@ def route_typed(df: DataFrame, column: str, envelope: Envelope, payload: str = "
         opaque = _opaque(m)
         kept = None if opaque is None else _second_reading(F.col("__payload"), opaque)
         part = F.try_variant_get(F.col("__doc"), J.path_of((at[n],)), "variant")  # the payload's own part, parsed with the rest
-        read = read.when(F.col("__name") == n, J.bind(_cell(part, lambda v, k, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(options, n, made)))
+        read = read.when(F.col("__name") == n, J.bind(_cell(part, lambda v, k, _, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(options, n, made)))
     staged = routed.withColumn("__read", read.otherwise(_pair(F.lit(None), None, made)))
     staged = staged.select(*df.columns, "__payload", F.explode(F.array("__read")).alias("__read"))  # see decode
     return staged.select(*(c for c in df.columns if c not in (payload, value, err)), F.col("__payload").alias(payload), F.col("__read.value").alias(value), explained(F.col("__read.error")).alias(err))
@@ -514,6 +546,6 @@ def unpack_dynamic(df: DataFrame, column: str, registry: dict[str, Model], value
     for n, m in registry.items():
         opaque = _opaque(m)
         kept = None if opaque is None else _second_reading(packed["value"], opaque)
-        read = read.when(F.col("__name") == n, J.bind(_cell(F.col("__doc"), lambda v, k, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(registry, n, made)))
+        read = read.when(F.col("__name") == n, J.bind(_cell(F.col("__doc"), lambda v, k, _, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(registry, n, made)))
     staged = docs.withColumn("__read", read.otherwise(_pair(F.lit(None), None, made))).select(*df.columns, F.explode(F.array("__read")).alias("__read"))
     return staged.select(*(c for c in df.columns if c not in (value, err)), F.col("__read.value").alias(value), explained(F.col("__read.error")).alias(err))
