@@ -72,7 +72,8 @@ def test_penalty_acts_on_the_table(spark):
     """The table's toxic texts are made to name a group, civil ones name it seldom: a bias that only swaps take back."""
     documents, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     found, swaps = tox.gather(documents, labels)
-    assert sum(len(pairs) for _, pairs in swaps if any(a in tox.found_terms(found) for a, _ in pairs)) > 50
+    terms = set(tox.found_terms(found))
+    assert sum(len(pairs) for _, pairs in swaps if any(a in terms for a, _ in pairs)) > 50
     bad = labels.groupBy("doc_id").agg(F.max("toxic").alias("bad"))
     named = documents.join(bad, "doc_id").withColumn("text", F.when(F.col("bad") == 1, F.concat("text", F.lit(". refugees came by train."))).otherwise(F.col("text")))
     texts, swaps = tox.gather(named, labels)
