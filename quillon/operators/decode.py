@@ -480,7 +480,9 @@ def decode(df: DataFrame, column: str, kind: Any, options: Options | None = None
         read = _decoded(doc, k, kind, root, o, False, kept)
     staged = docs.withColumn("__read", F.when(unread, _pair(F.lit(None), wrong, made)).otherwise(read))
     # A filter on the value must not be pushed down as a second copy of the whole expression; it stops at a generator.
-    staged = staged.select(*df.columns, F.explode(F.array("__read")).alias("__read"))
+    # An outer one, though its array is never empty: for others Spark infers a filter on the array's size and pushes that
+    # down, with hundreds of copies of what it reads.
+    staged = staged.select(*df.columns, F.explode_outer(F.array("__read")).alias("__read"))
     out = staged.select(*(c for c in df.columns if c not in (value, err)), F.col("__read.value").alias(value), explained(F.col("__read.error")).alias(err))
     if mode == "drop":
         return out.filter(F.col(err).isNull())
@@ -531,7 +533,7 @@ def route_typed(df: DataFrame, column: str, envelope: Envelope, payload: str = "
         part = F.try_variant_get(F.col("__doc"), J.path_of((at[n],)), "variant")  # the payload's own part, parsed with the rest
         read = read.when(F.col("__name") == n, J.bind(_cell(part, lambda v, k, _, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(options, n, made)))
     staged = routed.withColumn("__read", read.otherwise(_pair(F.lit(None), None, made)))
-    staged = staged.select(*df.columns, "__payload", F.explode(F.array("__read")).alias("__read"))  # see decode
+    staged = staged.select(*df.columns, "__payload", F.explode_outer(F.array("__read")).alias("__read"))  # see decode
     return staged.select(*(c for c in df.columns if c not in (payload, value, err)), F.col("__payload").alias(payload), F.col("__read.value").alias(value), explained(F.col("__read.error")).alias(err))
 
 
@@ -547,5 +549,5 @@ def unpack_dynamic(df: DataFrame, column: str, registry: dict[str, Model], value
         opaque = _opaque(m)
         kept = None if opaque is None else _second_reading(packed["value"], opaque)
         read = read.when(F.col("__name") == n, J.bind(_cell(F.col("__doc"), lambda v, k, _, m=m, kept=kept: _object(v, k, m, F.lit("$"), Options(), kept=kept)), _tagged(registry, n, made)))
-    staged = docs.withColumn("__read", read.otherwise(_pair(F.lit(None), None, made))).select(*df.columns, F.explode(F.array("__read")).alias("__read"))
+    staged = docs.withColumn("__read", read.otherwise(_pair(F.lit(None), None, made))).select(*df.columns, F.explode_outer(F.array("__read")).alias("__read"))
     return staged.select(*(c for c in df.columns if c not in (value, err)), F.col("__read.value").alias(value), explained(F.col("__read.error")).alias(err))

@@ -188,3 +188,12 @@ def test_round_trip(spark, rows):
     again = decode(coded.select("i", "json"), "json", SHEET).orderBy("i").collect()
     for r, back in zip(rows, again):
         assert back.error is None and back.value.asDict(True) == r and json.loads(back.json) == r
+
+
+def test_what_is_decoded_is_read_once(spark):
+    """Nothing that decoding reads is copied into a filter below it: a costly column made once is evaluated once."""
+    made = spark.createDataFrame([('{"k":1}',), (None,), ("{}",)], "doc string").select(F.get_json_object("doc", "$").alias("doc"))
+    read = decode(made, "doc", Model("P", (optional("k", "long"),), proto=True)).select("doc", "value.k")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and plan.count("get_json_object") == 1
+    assert sorted((r.doc or "", r.k or 0) for r in read.collect()) == [("", 0), ('{"k":1}', 1), ("{}", 0)]
