@@ -50,6 +50,8 @@ class Encoder(Memo):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.firsts = [ranks.get(bytes([b])) for b in range(256)]
+        self.pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]  # the rank of each two bytes
 
     def make(self, pretoken: str) -> bytes:
         return array("I", self.merge(pretoken.encode())).tobytes()
@@ -61,22 +63,27 @@ class Encoder(Memo):
         of = (lambda values: array("q", values)) if n > 4096 else list
         after = of(range(1, n + 1))  # where the token that starts here ends
         before = of(range(-1, n - 1))  # where the token before the one that starts here starts
-        pair = of([-1]) * n  # the rank of the token that starts here with its right neighbour
+        pairs = self.pairs
+        pair = of([pairs[a << 8 | b] for a, b in zip(piece, piece[1:])])  # the rank of the token that starts here with its right neighbour
+        pair.append(-1)
+        ids = list(map(self.firsts.__getitem__, piece))  # the token that starts here
         # The queue, written out here since calls would cost more than the work: buckets of positions (heaps) by rank,
         # a bit for each bucket in words of 64 ranks, a bit for each such word in ``top``.
         buckets: dict[int, list[int]] = {}
         words: dict[int, int] = {}
         top = 0
-        for i in range(n - 1):
-            if (rank := get(piece[i : i + 2])) is not None:
-                pair[i] = rank
+        for i, rank in enumerate(pair):
+            if rank >= 0:
                 if rank in buckets:
                     buckets[rank].append(i)  # ascending positions are a heap
                 else:
                     buckets[rank] = [i]
                     word = rank >> 6
-                    words[word] = words.get(word, 0) | 1 << (rank & 63)
-                    top |= 1 << word
+                    if word in words:
+                        words[word] |= 1 << (rank & 63)
+                    else:
+                        words[word] = 1 << (rank & 63)
+                        top |= 1 << word
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
@@ -87,44 +94,57 @@ class Encoder(Memo):
             else:
                 i = bucket[0]
                 del buckets[rank]
-                words[word] = bits = bits & (bits - 1)
-                if not bits:
+                if bits := bits & (bits - 1):
+                    words[word] = bits
+                else:
+                    del words[word]
                     top &= top - 1
             if pair[i] != rank:
                 continue  # a stale entry
             gone = after[i]
             end = after[i] = after[gone]
+            ids[i] = rank
             pair[gone] = pair[i] = -1
             start = before[i]
             if end < n:
                 before[end] = i
                 stop = after[end]
-                fresh = ((i, stop), (start, end)) if start >= 0 else ((i, stop),)
-            else:
-                fresh = ((start, end),) if start >= 0 else ()
-            for at, b in fresh:
-                rank = get(piece[at:b], -1) if b - at <= longest else -1
-                pair[at] = rank
+                if stop - i <= longest and (rank := get(piece[i:stop], -1)) >= 0:
+                    pair[i] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        word = rank >> 6
+                        if word in words:
+                            words[word] |= 1 << (rank & 63)
+                        else:
+                            words[word] = 1 << (rank & 63)
+                            top |= 1 << word
+            if start >= 0:
+                rank = pair[start] = get(piece[start:end], -1) if end - start <= longest else -1
                 if rank >= 0:
                     if rank in buckets:
-                        heappush(buckets[rank], at)
+                        heappush(buckets[rank], start)
                     else:
-                        buckets[rank] = [at]
+                        buckets[rank] = [start]
                         word = rank >> 6
-                        words[word] = words.get(word, 0) | 1 << (rank & 63)
-                        top |= 1 << word
-        ids, i, ranks = [], 0, self.ranks
+                        if word in words:
+                            words[word] |= 1 << (rank & 63)
+                        else:
+                            words[word] = 1 << (rank & 63)
+                            top |= 1 << word
+        out, i = [], 0
         while i < n:
-            end = after[i]
-            ids.append(ranks[piece[i:end]])
-            i = end
-        return ids
+            out.append(ids[i])
+            i = after[i]
+        return out
 
     def encode(self, text: str | None, pattern: regex.Pattern) -> bytes:
         return b"".join(map(self.__getitem__, pattern.findall(text))) if text else b""
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I"))) if packed else b""
+        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I").tolist())) if packed else b""
 
 
 def encode_texts(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
