@@ -149,10 +149,13 @@ def unmarked(text: Column) -> Column:
 def capture(document: Column, *parts: str) -> Column:
     """The value under a path as JSON text: members in their order, numbers as they are written, no white space; null if
     absent."""
-    v = F.try_variant_get(F.try_parse_json(document), path_of(parts), "variant")
     named = "$" + "".join(f"['{p}']" for p in parts)
-    kept = F.coalesce(unmarked(F.get_json_object(marked(document), named)), F.to_json(v))
-    return F.when(v.isNull(), None).when(F.schema_of_variant(v) == "STRING", F.to_json(v)).when(F.schema_of_variant(v) == "VOID", "null").otherwise(kept)
+
+    def shown(v: Column) -> Column:
+        kept = F.coalesce(bind(F.get_json_object(marked(document), named), unmarked), F.to_json(v))
+        return F.when(v.isNull(), None).when(F.schema_of_variant(v) == "STRING", F.to_json(v)).when(F.schema_of_variant(v) == "VOID", "null").otherwise(kept)
+
+    return bind(F.try_variant_get(F.try_parse_json(document), path_of(parts), "variant"), shown)  # both readings are made once
 
 
 def members(pairs: list[tuple[Column | str, Column | None]]) -> Column:

@@ -128,3 +128,11 @@ def test_files_and_streams(spark, tmp_path):
     stream = stream_ndjson(spark, f"{tmp_path}/out", kind).select("value.a").writeStream.format("memory").queryName("ndjson_test").trigger(availableNow=True).start()
     stream.awaitTermination()
     assert sorted(r.a for r in spark.table("ndjson_test").collect()) == [1, 2]
+
+
+def test_capture_makes_each_reading_once(spark):
+    """The document's second reading, the costly one, is not made again for each use of its text."""
+    documents = ['{"k":"a"}', '{"k":{"a" : 1.50, "b":"x \\"2\\""}}', '{"k": [1.0, 2e5] }', '{"k":-0.10}', '{"k":true}', '{"k":null}', '{"j":1}', "no", None]
+    read = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "i int, d string").select("i", J.capture(F.col("d"), "k").alias("c"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1
+    assert [r.c for r in read.orderBy("i").collect()] == ['"a"', '{"a":1.50,"b":"x \\"2\\""}', "[1.0,2e5]", "-0.10", "true", "null", None, None, None]
