@@ -15,7 +15,6 @@ archive, and any file system that Spark knows will do.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
@@ -175,6 +174,24 @@ def _squeezed(data: bytes, level: int) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
+def unzipped(data: bytes, piece: int = 1 << 14) -> bytes:
+    """The content of a gzip file of any number of members, zero bytes between and after them left out. What follows a member
+    is copied a piece at a time; ``gzip.decompress`` copies all of it, for each member. A cut member is an error."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        if not data[at]:
+            at += 1
+            continue
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise EOFError("gzip member cut short")
+            out.append(member.decompress(view[at : at + piece]))
+            at = min(at + piece, len(data))
+        at -= len(member.unused_data)
+    return b"".join(out)
+
+
 def pages_to_arc(pages: DataFrame, date: str = "20040101120000") -> DataFrame:
     """Compressed ARC archives (``name``, ``content``) of about ARCHIVE_BYTES with a record for each page, versions 1 and 2 in turn.
 
@@ -210,7 +227,7 @@ def convert(name: str, content: bytes) -> Iterator[tuple]:
     """The WARC equivalents (columns of RECORD) of a compressed archive's records; the version block that opens it is left out.
 
     A record's id is made of the archive's name and its place there, so repeated pages have ids of their own."""
-    for place, r in enumerate(islice(read_arc(gzip.decompress(content)), 1, None)):  # the version block is always first
+    for place, r in enumerate(islice(read_arc(unzipped(content)), 1, None)):  # the version block is always first
         http, payload = split_http(r.content)
         page = _header(http, b"X-Page-Id")
         digest = hashlib.sha1(payload).hexdigest()
@@ -289,7 +306,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for h, block in read_warc(gzip.decompress(content.as_py())):
+                for h, block in read_warc(unzipped(content.as_py())):
                     if h["warc-type"] == "warcinfo":
                         continue
                     declared = b16encode(b32decode(h["warc-payload-digest"].removeprefix("sha1:"))).decode().lower()
