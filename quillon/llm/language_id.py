@@ -5,6 +5,10 @@ alone (its beginnings and ends, letter n-grams over the whole of it, the word, a
 frequent words it stands); learned transitions make neighbours agree, yet allow a switch. Forward-backward gives each word's marginal
 probabilities; a text's language has the largest mean marginal over all its words.
 
+Marginals only choose among the learned languages: words of any other have large ones too. Whether a word is in a known
+language at all is told by its letter trigrams: its support by a language is the share of them that the language's
+training words hold, over what share new words of that language may be expected to have.
+
 Training texts have one language each, so fragments of several are spliced into sequences with known switches, from
 which transitions are learned too. Fitting uses a bounded sample (about ``per_language`` texts by a hash of the id, from
 each a fragment of at most FRAGMENT words) and runs in the driver.
@@ -31,8 +35,8 @@ from .storage import MEMO_BYTES, Shared, bounded_batches, remainder, thinned
 #: Buckets of hashed features; texts of each language in the sample; words of a fragment; fragments of a sequence; epochs.
 BITS, PER_LANGUAGE, FRAGMENT, SPLICED, EPOCHS = 17, 1500, 60, 3, 50
 BUCKETS, MASK = 1 << BITS, (1 << 64) - 1
-#: Words of a language's lexicon; chunk length of scoring.
-LEXICON, CHUNK = 300, 64
+#: Words of a language's lexicon; chunk length of scoring; words of a passage that shows a known language.
+LEXICON, CHUNK, PASSAGE = 300, 64, 20
 UNDETERMINED = "und"
 
 #: Longer runs of letters, as in scripts without spaces, are cut into several words of so many letters.
@@ -44,6 +48,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all words, each marked at both ends, and the sizes of the marked words."""
+    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return chars, np.fromiter(map(len, words), np.int64, len(words)) + 2
+
+
+def trigrams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers and letter trigrams (21 bits a letter) of marked words, as often as they occur; each word has one."""
+    chars, sizes = _letters(words)
+    at = np.arange(len(chars))
+    of = np.repeat(np.arange(len(words)), sizes)
+    whole = at[np.cumsum(sizes)[of] - at >= 3]
+    shift = np.uint64(21)
+    return of[whole], (chars[whole] << shift | chars[whole + 1]) << shift | chars[whole + 2]
+
+
 def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
     """Buckets of hashes; ``kind`` tells features of one hash apart."""
     return ((h ^ np.uint64(kind * 0x9E3779B97F4A7C15 & MASK)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)).astype(np.int32)
@@ -52,8 +72,7 @@ def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
 def features_of(words: list[str], lexicons: dict[str, frozenset]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers and buckets of the features of many words at once: for each word its letter n-grams over the whole
     of it (marked at both ends; as often as they occur), its first and last letters, itself, and the lexicons it is in."""
-    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    chars, sizes = _letters(words)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     number = np.arange(len(words))
@@ -98,6 +117,27 @@ class Model:
 
     def __init__(self, labels: list[str], weights: np.ndarray, transitions: np.ndarray, first: np.ndarray, lexicons: dict):
         self.labels, self.weights, self.transitions, self.first, self.lexicons = labels, weights, transitions, first, lexicons
+        self.trigrams, self.shares = np.empty(0, np.uint64), np.zeros((0, len(labels)))
+
+    def observe(self, found: list[tuple[str, list[str]]]) -> Model:
+        """Notes which trigrams the training texts (label, words) of each label hold: 1 / expected share of them in new
+        words of that label, by Good and Turing's estimate over texts; 0 for trigrams that the label's texts lack."""
+        each = [(self.labels.index(y), np.unique(trigrams_of(words)[1])) for y, words in found]
+        self.trigrams = np.unique(np.concatenate([g for _, g in each]))
+        texts = np.zeros((len(self.trigrams), len(self.labels)), np.int64)
+        for j, g in each:
+            texts[np.searchsorted(self.trigrams, g), j] += 1
+        expected = 1 - (texts == 1).sum(axis=0) / np.maximum(texts.sum(axis=0), 1)
+        self.shares = (texts > 0) / np.maximum(expected, 0.1)
+        return self
+
+    def support(self, words: list[str]) -> np.ndarray:
+        """The support (0 to 1) of each word by each label."""
+        of, g = trigrams_of(words)
+        place = np.minimum(np.searchsorted(self.trigrams, g), len(self.trigrams) - 1)
+        held = self.shares[place] * (self.trigrams[place] == g)[:, None]
+        total = np.stack([np.bincount(of, held[:, j], len(words)) for j in range(len(self.labels))], axis=1)
+        return np.minimum(total / np.maximum(np.bincount(of, minlength=len(words)), 1)[:, None], 1.0)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -237,7 +277,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     for at in range(0, len(found), SPLICED):
         parts = found[at : at + SPLICED]
         sequences.append([(w, labels.index(y)) for y, words in parts for w in words])
-    return fit(sequences, labels, lexicons, epochs)
+    return fit(sequences, labels, lexicons, epochs).observe(found)
 
 
 class Tagger(dict):
@@ -247,7 +287,7 @@ class Tagger(dict):
         super().__init__()
         self.model, self.most = model, most
         self.k = len(model.labels)
-        self.emit, self.size = np.ones((0, self.k)), 0
+        self.emit, self.size = self.emissions([]), 0
         self.older: tuple[dict, np.ndarray] = ({}, self.emit)
         self.step, self.first = np.exp(model.transitions - model.transitions.max()), np.exp(model.first - model.first.max())
 
@@ -259,13 +299,13 @@ class Tagger(dict):
     def learn(self, words: set[str]) -> None:
         """Makes room for the words and has a row for each."""
         fresh = [w for w in words if w not in self]
-        need = sum(map(len, fresh)) + len(fresh) * (150 + 8 * self.k)  # bytes, about; wide letters are rare enough
+        need = sum(map(len, fresh)) + len(fresh) * (150 + 8 * self.emit.shape[1])  # bytes, about; wide letters are rare enough
         if self.size + need > self.most:  # what is asked for again moves on, the rest goes
             self.older, self.size = (dict(self), self.emit), 0
             self.clear()
-            self.emit = np.ones((0, self.k))
+            self.emit = self.emissions([])
             fresh = list(words)
-            need = sum(map(len, fresh)) + len(fresh) * (150 + 8 * self.k)
+            need = sum(map(len, fresh)) + len(fresh) * (150 + 8 * self.emit.shape[1])
         self.size += need
         known, rows = self.older
         moved = [w for w in fresh if w in known]
@@ -282,7 +322,7 @@ class Tagger(dict):
         self.emit = np.concatenate(parts) if len(parts) > 1 else self.emit
 
     def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The marginals (words x labels) of each text's words."""
+        """The marginals (words x labels) of each text's words, with what else their rows have."""
         self.learn(set().union(*texts))
         chunks = np.array([-(-len(t) // CHUNK) for t in texts], np.int64)
         mask = np.zeros((int(chunks.sum()), CHUNK), bool)
@@ -294,8 +334,10 @@ class Tagger(dict):
                 place.reshape(-1)[at * CHUNK : at * CHUNK + len(t)] = ids
                 mask.reshape(-1)[at * CHUNK : at * CHUNK + len(t)] = True
         if not len(mask):
-            return [np.zeros((0, self.k)) for _ in texts]
-        found = marginals(self.emit[place], mask, np.repeat(np.arange(len(texts)), chunks), self.step, self.first).reshape(-1, self.k)
+            return [self.emissions([]) for _ in texts]
+        rows = self.emit[place]
+        rows[:, :, : self.k] = marginals(rows[:, :, : self.k], mask, np.repeat(np.arange(len(texts)), chunks), self.step, self.first)
+        found = rows.reshape(-1, rows.shape[2])
         return [found[at * CHUNK : at * CHUNK + len(t)] for t, at in zip(texts, starts.tolist())]
 
     def languages(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -309,9 +351,22 @@ class Tagger(dict):
                 out.append((UNDETERMINED, 0.0))
         return out
 
+
+class Judge(Tagger):
+    """Also has the support of each word by each language in its row, behind the emissions."""
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([super().emissions(words), self.model.support(words)], axis=1)
+
     def evidence(self, texts: list[str | None]) -> list[float]:
-        """The greatest marginal that any word of a text has in any language; 0 without words."""
-        return [float(p.max(initial=0.0)) for p in self.tag([words_of(x) for x in texts])]
+        """How far a text is in known languages, 0 to 1: the support of a word is that by its language, by the marginals;
+        of all passages of PASSAGE words (a shorter text is one), the best mean counts. 0 without words."""
+        out = []
+        for p in self.tag([words_of(x) for x in texts]):
+            n = min(len(p), PASSAGE)
+            sums = np.concatenate([[0.0], np.cumsum((p[:, : self.k] * p[:, self.k :]).sum(axis=1))])
+            out.append(float((sums[n:] - sums[: len(sums) - n]).max() / n) if n else 0.0)
+        return out
 
 
 def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -353,21 +408,22 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     return rows.select(key, (remainder(key, 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.35) -> DataFrame:
-    """The rows of ``df`` in known languages, one or several: those with a word whose marginal in some language is
-    ``least`` or more; without a model, those that hold a letter."""
+def keep_known(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``df`` in known languages, one or several: those whose ``evidence`` is ``least`` or more, so a passage in
+    known languages keeps a text, and one of words that no learned language would have goes; without a model, those
+    that hold a letter."""
     if model is None:
         return df.filter(F.col(text).rlike(r"\p{L}"))
     shared = Shared(df.sparkSession, model)
     place = df.columns.index(text)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = shared.built(Tagger)
+        judge = shared.built(Judge)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = part.column(place).to_pylist()
-                found = [score for a, b in _slices(texts) for score in tagger.evidence(texts[a:b])]
+                found = [score for a, b in _slices(texts) for score in judge.evidence(texts[a:b])]
                 yield part.filter(pa.array([score > 0 and score >= least for score in found], pa.bool_()))
 
     return bounded_batches(df).mapInArrow(kept, df.schema)
