@@ -6,6 +6,8 @@ for a word of 64 buckets) give the lowest rank that has entries by find-first-se
 pairs. A merge does not search for the entries that it makes obsolete:
 a popped entry counts only if its position still starts a pair of that very rank. The work is proportional to the
 length of the pre-token, times the logarithm within one bucket, so a megabyte of one letter class is no special case.
+In pre-tokens of at most SHORT bytes, which is nearly all, the positions of a bucket are a bitmap too, and the queue is
+one of fixed tables that each pre-token leaves empty.
 
 Texts pass through ``mapInArrow``; there is no shuffle and nothing depends on other rows, so a hot key cannot arise
 and a lost executor costs its running tasks only. Distinct pre-tokens are encoded once per worker and kept in a
@@ -29,6 +31,9 @@ from pyspark.sql import types as T
 
 from .storage import Memo, Shared, bounded_batches
 
+#: Bytes of a short pre-token, ranks (and such positions) of a word of the short queue; bytes of a generation of the memo.
+SHORT, MEMO = 256, 64 << 20
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a tiktoken file."""
     with open(path, "rb") as lines:
@@ -46,15 +51,79 @@ class Encoder(Memo):
     """Maps a pre-token to its ids as little-endian unsigned 32-bit integers; also a memo of those seen."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
+        super().__init__(MEMO)
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.firsts = [ranks.get(bytes([b])) for b in range(256)]
+        most = max(ranks.values(), default=0)
+        self.buckets, self.words = [0] * (most + 1), [0] * ((most >> 8) + 1)  # the short queue
+        self.bits = [1 << i for i in range(max(SHORT, len(self.words)))]
         self.pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]  # the rank of each two bytes
 
     def make(self, pretoken: str) -> bytes:
-        return array("I", self.merge(pretoken.encode())).tobytes()
+        piece = pretoken.encode()
+        return array("I", self.merge_short(piece) if len(piece) <= SHORT else self.merge(piece)).tobytes()
+
+    def merge_short(self, piece: bytes) -> list[int]:
+        """As ``merge``, with positions as bits of a number."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        get, longest, n, bit, words, buckets, pairs = self.ranks.get, self.longest, len(piece), self.bits, self.words, self.buckets, self.pairs
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        pair.append(-1)
+        ids = list(map(self.firsts.__getitem__, piece))
+        top = i = 0
+        for rank in pair:
+            if rank >= 0:
+                word = rank >> 8
+                top |= bit[word]
+                words[word] |= bit[rank & 255]
+                buckets[rank] |= bit[i]
+            i += 1
+        while top:
+            lowest = top & -top
+            word = lowest.bit_length() - 1
+            bits = words[word]
+            first = bits & -bits
+            rank = (word << 8) + first.bit_length() - 1
+            bucket = buckets[rank]
+            place = bucket & -bucket
+            i = place.bit_length() - 1
+            buckets[rank] = bucket = bucket ^ place
+            if not bucket:
+                words[word] = bits = bits ^ first
+                if not bits:
+                    top ^= lowest
+            if pair[i] != rank:
+                continue  # a stale entry
+            gone = after[i]
+            end = after[i] = after[gone]
+            ids[i] = rank
+            pair[gone] = pair[i] = -1
+            start = before[i]
+            if end < n:
+                before[end] = i
+                stop = after[end]
+                if stop - i <= longest and (rank := get(piece[i:stop], -1)) >= 0:
+                    pair[i] = rank
+                    word = rank >> 8
+                    top |= bit[word]
+                    words[word] |= bit[rank & 255]
+                    buckets[rank] |= bit[i]
+            if start >= 0:
+                rank = pair[start] = get(piece[start:end], -1) if end - start <= longest else -1
+                if rank >= 0:
+                    word = rank >> 8
+                    top |= bit[word]
+                    words[word] |= bit[rank & 255]
+                    buckets[rank] |= bit[start]
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
